@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import common
+from millrace.llm.pieces import op1_sentencepiece
 from millrace.llm.token_planes import op8_token_planes
 
 
@@ -18,5 +19,5 @@ def _shipped(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op8_token_planes,)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_sentencepiece, op8_token_planes)}
 ORACLE_SQL: dict[str, str] = {}
