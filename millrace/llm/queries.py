@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import common
 from millrace.llm.pieces import op1_sentencepiece
+from millrace.llm.simhash import op10_simhash
 from millrace.llm.token_planes import op8_token_planes
 
 
@@ -19,5 +20,5 @@ def _shipped(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_sentencepiece, op8_token_planes)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_sentencepiece, op8_token_planes, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
