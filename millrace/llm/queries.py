@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import common
+from millrace.llm.line_dedup import OP3_SQL, op3_line_dedup
 from millrace.llm.pieces import op1_sentencepiece
 from millrace.llm.simhash import op10_simhash
 from millrace.llm.token_planes import op8_token_planes
@@ -20,5 +21,5 @@ def _shipped(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_sentencepiece, op8_token_planes, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_sentencepiece, op3_line_dedup, op8_token_planes, op10_simhash)}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
