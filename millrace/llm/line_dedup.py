@@ -186,6 +186,6 @@ WITH lines AS (
   FROM keyed LEFT JOIN shared USING (key)
 )
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN lost THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT lost), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT lost), '')) AS kept_sha256
 FROM marked GROUP BY k, doc_id
 """
