@@ -172,7 +172,7 @@ def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH lines AS (
-  SELECT doc_id, k, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS at
+  SELECT doc_id, k, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS place
   FROM (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS k FROM documents)
 ), keyed AS (
   SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
@@ -186,6 +186,6 @@ WITH lines AS (
   FROM keyed LEFT JOIN shared USING (key)
 )
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN lost THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT lost), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT lost), '')) AS kept_sha256
 FROM marked GROUP BY k, doc_id
 """
