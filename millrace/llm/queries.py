@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm import common
 from millrace.llm.line_dedup import OP3_SQL, op3_line_dedup
 from millrace.llm.pieces import op1_sentencepiece
+from millrace.llm.secret_scan import OP2_SQL, op2_secret_scan
 from millrace.llm.simhash import op10_simhash
 from millrace.llm.token_planes import op8_token_planes
 
@@ -21,5 +22,5 @@ def _shipped(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_sentencepiece, op3_line_dedup, op8_token_planes, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_sentencepiece, op2_secret_scan, op3_line_dedup, op8_token_planes, op10_simhash)}
+ORACLE_SQL: dict[str, str] = {"op2_secret_scan": OP2_SQL, "op3_line_dedup": OP3_SQL}
