@@ -22,6 +22,8 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -207,38 +209,38 @@ class WordCacheEncoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _letters(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of runs of letters, many at a time."""
-        out: dict[bytes, bytes] = {}
+    def _letters(self, words: list[bytes]) -> None:
+        """Learns runs of letters, many at a time."""
         for k in range(0, len(words), 512):
             some = words[k : k + 512]
             ids = np.array(self.library.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = ((np.flatnonzero(self.ends[ids]) + 1) * ID_BYTES).tolist()
             raw = ids.tobytes()
-            out.update((w, raw[a:b]) for w, a, b in zip(some, [0, *stops[:-1]], stops, strict=True))
-        return out
+            self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.known) > self.CACHED:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = words.difference(known)
-        kept = new.intersection(older)
-        known.update((w, older[w]) for w in kept)
-        new -= kept
-        stems, rest = {}, []
-        for word in new:
+        new = set(words)
+        if older:
+            kept = new.intersection(older)
+            known.update(zip(kept, map(older.__getitem__, kept), strict=True))
+            new -= kept
+        plain = [w for w in new if w.isalpha()]  # a-z
+        marked, rest = [], []
+        for word in new.difference(plain):
             found = self.LETTERS.fullmatch(word)
-            if found:
-                stems[word] = found.groups()
-            else:
+            if not found:
                 rest.append(word)
-        letters = {stem for stem, _ in stems.values()}
-        got = {w: known[w] for w in letters.intersection(known)}
-        got |= {w: older[w] for w in letters.intersection(older)}
-        got |= self._letters(list(letters.difference(got)))
-        marks = dict(zip((b"", b".", b","), (b"", *self.whole([".", ","])), strict=True))
-        known.update((word, got[stem] + marks[mark]) for word, (stem, mark) in stems.items())
+            elif found[2]:
+                marked.append((word, found[1], found[2]))
+            else:
+                plain.append(word)
+        self._letters(plain)
+        self._letters(list({stem for _, stem, _ in marked}.difference(known)))
+        marks = dict(zip((b".", b","), self.whole([".", ","]), strict=True))
+        known.update([(word, known[stem] + marks[mark]) for word, stem, mark in marked])
         known.update(zip(rest, self.whole([w.decode() for w in rest]), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -247,9 +249,16 @@ class WordCacheEncoder:
         lowered = [text.encode().lower() for text in texts]
         special = {k for k, text in enumerate(lowered) if any(token in text for token in self.added_bytes)}
         words = [[] if k in special else text.split() for k, text in enumerate(lowered)]
-        self._learn(set().union(*words))
-        get, join = self.known.__getitem__, b"".join
-        out = [join(map(get, each)) for each in words]
+        parts = [list(map(self.known.get, each)) for each in words]
+        gaps = [k for k, part in enumerate(parts) if None in part]
+        missing: set[bytes] = set()
+        for k in gaps:
+            missing.update(compress(words[k], map(is_, parts[k], repeat(None))))
+        self._learn(missing)
+        known = self.known
+        for k in gaps:
+            parts[k] = [known[word] if part is None else part for word, part in zip(words[k], parts[k], strict=True)]
+        out = [b"".join(part) for part in parts]
         for k in special:
             out[k] = self.whole([texts[k]])[0]
         return out
