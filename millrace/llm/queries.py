@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import common
+from millrace.llm.ann import op4_learned_partitions
 from millrace.llm.lang_id import op6_language_id
 from millrace.llm.line_dedup import OP3_SQL, op3_line_dedup
 from millrace.llm.lm_score import op7_lm_score
@@ -25,5 +26,5 @@ def _shipped(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_sentencepiece, op2_secret_scan, op3_line_dedup, op6_language_id, op7_lm_score, op8_token_planes, op9_media_columns, op10_simhash)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_sentencepiece, op2_secret_scan, op3_line_dedup, op4_learned_partitions, op6_language_id, op7_lm_score, op8_token_planes, op9_media_columns, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {"op2_secret_scan": OP2_SQL, "op3_line_dedup": OP3_SQL}

@@ -1,0 +1,86 @@
+"""Neighbours against brute force: exact within what is searched, and recall of the whole."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import ann
+
+
+def brute(rows, k, step):
+    fine = [(i, np.array(v, dtype=np.float64)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v) and len(v) == 4]
+    out = {}
+    for i, q in fine:
+        if i % step == 0 and i not in out:
+            near = sorted((-float(q @ v / np.sqrt((q @ q) * (v @ v))), j) for j, v in fine if j != i)
+            out[i] = [(j, -s) for s, j in near[:k]]
+    return out
+
+
+def found(spark, rows, k=5, step=5, **more):
+    table = spark.createDataFrame([(i, v, 0, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, label int, part string, id int")
+    got = {}
+    for r in ann.search(table, F.col("id") % step == 0, k=k, **more).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert all([r[0] for r in x] == list(range(1, len(x) + 1)) for x in got.values())
+    return {q: [(i, s) for _, i, s in x] for q, x in got.items()}
+
+
+def same(a, b):
+    assert a.keys() == b.keys()
+    for q in a:
+        assert [i for i, _ in a[q]] == [i for i, _ in b[q]], q
+        assert np.allclose([s for _, s in a[q]], [s for _, s in b[q]], atol=1e-12)
+
+
+@pytest.mark.parametrize("blocks", [16384, 7])
+def test_odd_rows(spark, blocks, monkeypatch):
+    """So few rows are one part: everything is searched."""
+    monkeypatch.setattr(ann, "ROWS", blocks)
+    monkeypatch.setattr(ann, "QUERIES", blocks)
+    rows = [(k, [float(k % 3), 1.0, float(k % 2), 0.5]) for k in range(12)]
+    rows += [(20, None), (21, []), (22, [0.0] * 4), (23, [1.0, None, 0.0, 0.0]), (24, [float("nan")] * 4), (25, [float("inf"), 0.0, 0.0, 1.0]), (None, [1.0, 1.0, 1.0, 1.0]), (30, [1.0, 2.0]), (35, None)]
+    rows += [(40, [1.0, 1.0, 1.0, 1.0])] * 2 + [(41, [1.0, 1.0, 1.0, 1.0])] * 3
+    same(found(spark, rows), brute(rows, 5, 5))
+
+
+def test_empty_and_few(spark):
+    assert found(spark, []) == {}
+    assert found(spark, [(1, None)]) == {}
+    rows = [(5, [1.0, 0.0, 0.0, 0.0]), (6, [1.0, 1.0, 0.0, 0.0])]
+    same(found(spark, rows), brute(rows, 5, 5))
+
+
+def test_many_copies(spark):
+    """A third of the rows are one vector: ties go to the smallest ids."""
+    rng = np.random.default_rng(1)
+    rows = [(k, [1.0, 2.0, 3.0, 4.0] if k % 3 == 0 else rng.normal(size=4).round(3).tolist()) for k in range(400)]
+    got, want = found(spark, rows, recall=1.0), brute([(i, np.float32(v).tolist()) for i, v in rows], 5, 5)
+    hits = [i in [j for j, _ in want[q]] for q in want for i, _ in got[q]]
+    assert got.keys() == want.keys() and np.mean(hits) > 0.95
+    same({q: got[q] for q in want if q % 3 == 0}, {q: want[q] for q in want if q % 3 == 0})
+
+
+@pytest.mark.parametrize("kind", ["noise", "clusters"])
+def test_recall(kind):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 32))
+    if kind == "clusters":
+        x += 6 * rng.normal(size=(40, 32))[rng.integers(0, 40, 6000)]
+    known, held = x[:2000], np.arange(0, 2000, 10)
+    router = ann.learn(np.delete(known, held, axis=0))
+    probes = ann.probes_for(router, known, held, 5, ann.RECALL)
+    ids, queries = np.arange(6000), np.arange(0, 6000, 30)
+    q, near, _ = ann.nearest(queries, x[queries], ids, x, 5)
+    part = router.probes(ann.unit(x), 1)[:, 0]
+    asked = dict(zip(queries.tolist(), router.probes(ann.unit(x[queries]), probes).tolist(), strict=True))
+    assert np.mean([part[b] in asked[a] for a, b in zip(q.tolist(), near.tolist(), strict=True)]) >= 0.9
+    assert np.bincount(part, minlength=16).max() < 6000 / 16 * 3
+    assert probes < (16 if kind == "noise" else 9)
+
+
+def test_balance():
+    rng = np.random.default_rng(3)
+    x = ann.unit(rng.normal(size=(800, 16)))
+    part = ann.balanced_cut(x, ann.neighbour_graph(x, 10), 8)
+    assert np.bincount(part, minlength=8).max() <= 110 and np.bincount(part, minlength=8).min() >= 90
