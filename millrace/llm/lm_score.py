@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from millrace.llm import common
 
 #: A chunk has about this many tokens, or distinct words, at most (and one text at least).
-CHUNK_TOKENS, CHUNK_WORDS = 4_000_000, 500_000
+CHUNK_TOKENS, CHUNK_WORDS = 2_000_000, 250_000
 #: Bytes of filter that are held at once.
 BROADCAST = 64 << 20
 BITS_PER_ENTRY, HASHES, BACKOFF = 12, 4, 4.0
