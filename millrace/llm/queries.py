@@ -12,6 +12,7 @@ from millrace.llm.lang_id import op6_language_id
 from millrace.llm.line_dedup import OP3_SQL, op3_line_dedup
 from millrace.llm.lm_score import op7_lm_score
 from millrace.llm.media import op9_media_columns
+from millrace.llm.mixing import OP5_SQL, op5_mixing
 from millrace.llm.pieces import op1_sentencepiece
 from millrace.llm.secret_scan import OP2_SQL, op2_secret_scan
 from millrace.llm.simhash import op10_simhash
@@ -26,5 +27,5 @@ def _shipped(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_sentencepiece, op2_secret_scan, op3_line_dedup, op4_learned_partitions, op6_language_id, op7_lm_score, op8_token_planes, op9_media_columns, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {"op2_secret_scan": OP2_SQL, "op3_line_dedup": OP3_SQL}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_sentencepiece, op2_secret_scan, op3_line_dedup, op4_learned_partitions, op5_mixing, op6_language_id, op7_lm_score, op8_token_planes, op9_media_columns, op10_simhash)}
+ORACLE_SQL: dict[str, str] = {"op2_secret_scan": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_mixing": OP5_SQL}

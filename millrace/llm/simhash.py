@@ -3,9 +3,10 @@
 1. Fingerprints: lower-case A-Z, words between ASCII white space, n-word shingles (repeats count; fewer words: the
    whole sequence; none: fingerprint 0), XXH64 of each, and a bit wherever over half of the hashes have it.
 2. Only distinct fingerprints go on, each with its smallest document id: a group of copies is one row.
-3. Two fingerprints within the radius r agree in at least b - r of b blocks of bits. For each choice of b - r blocks,
+3. Two fingerprints of 64 bits within the radius r agree in at least b - r of b blocks of bits. For each choice of b - r blocks,
    the fingerprints are dealt out by those blocks; b grows with the number of fingerprints, so that what shares a
-   bucket stays small. Every choice of b gives the same links.
+   bucket stays small. Every choice of b gives the same links. Wide fingerprints, for large radii, are dealt out by
+   tables of sampled bits instead, as many as find RECALL of the pairs that differ in 1 bit of 8.
 4. Within a bucket, the sorted fingerprints are a binary trie. Pairs of its nodes are walked together, bit by bit: the
    error of a pair grows where its nodes take different branches, and a pair beyond the radius is dropped with all
    below it. A pair of nodes whose leaves are all in one component already has nothing to add and is dropped too.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -37,37 +39,55 @@ BITS = 64
 SPLIT = 1 << 16
 #: Pairs of nodes that are held at once.
 FRONTIER = 1 << 20
+#: Of the pairs that differ in 1 bit of 8, those that meet in a table of sampled bits.
+RECALL = 0.98
 
 # ------------------------------------------------------------------------------------------------------- fingerprints
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42, block: int = 1 << 17) -> int:
-    """The fingerprint of a whole text, in memory for one block of shingles."""
+def _derived(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th word of wide hashes; the first is the hash itself."""
+    if not k:
+        return hashes
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: bytes, words: int = 4, seed: int = 42, width: int = 1, block: int = 1 << 17) -> np.ndarray:
+    """The fingerprint of a whole text, width words of 64 bits, in memory for one block of shingles."""
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return np.zeros(width, dtype=np.uint64)
     joined = b" ".join(tokens)
     stops = list(accumulate(map(len, tokens), lambda a, b: a + b + 1))
     n = max(1, len(tokens) - words + 1)
     starts = [0, *(x + 1 for x in stops[: n - 1])]
     ends = stops[words - 1 :] if len(tokens) >= words else stops[-1:]
-    hashed, counts = xxhash.xxh64_intdigest, np.zeros(BITS, dtype=np.int64)
+    hashed, counts = xxhash.xxh64_intdigest, np.zeros((width, BITS), dtype=np.int64)
     for k in range(0, n, block):
         hashes = np.array([hashed(joined[a:b], seed) for a, b in zip(starts[k : k + block], ends[k : k + block], strict=True)], dtype=np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+        for w in range(width):
+            counts[w] += np.unpackbits(_derived(hashes, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def columns_of(width: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, width))]
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
-    """id_col and fp, the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, width: int = 1) -> DataFrame:
+    """id_col and the fingerprint's words as signed longs: fp, fp1, ..."""
+    names = columns_of(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.rows_of(batches, 512):
-            found = np.array([fingerprint(x, words, seed) for x in common.utf8(batch.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
+            found = np.array([fingerprint(x, words, seed, width) for x in common.utf8(batch.column(1))], dtype=np.uint64).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k].view(np.int64)) for k in range(width))], names=[id_col, *names])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` long, fp long")
+    return rows.mapInArrow(run, ", ".join([f"`{id_col}` long", *(f"{n} long" for n in names)]))
 
 
 # ----------------------------------------------------------------------------------------------------- local trie join
@@ -108,21 +128,28 @@ class Forest:
 def trie_links(keys: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
     """label of each row: rows within radius of each other in a bucket get the same one, transitively.
 
-    keys: distinct unsigned 64-bit rows, sorted within buckets; bucket: sorted.
+    keys: (rows, words) distinct fingerprints, sorted within buckets; bucket: sorted.
     """
     n = len(keys)
     forest = Forest(n)
     if n < 2:
         return forest.label
-    near = (bucket[1:] == bucket[:-1]) & (np.bitwise_count(keys[1:] ^ keys[:-1]) <= radius)
+    apart = lambda a, b: np.bitwise_count(keys[a] ^ keys[b]).sum(axis=1, dtype=np.int64)
+    near = (bucket[1:] == bucket[:-1]) & (apart(slice(1, None), slice(None, -1)) <= radius)
     at = np.flatnonzero(near)
     forest.link(at, at + 1)  # neighbours in the order of the trie's leaves: most of a dense group is one component now
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     stop = np.append(first[1:], n)
     wide = stop - first > 1
     first, stop = first[wide], stop[wide]
-    ones = {d: np.concatenate([[0], np.cumsum(keys >> np.uint64(d) & np.uint64(1), dtype=np.int64)]) for d in range(BITS)}
-    work = [(BITS - 1, first, stop, first, stop, np.zeros(len(first), dtype=np.int8))]
+    last = BITS * keys.shape[1] - 1
+
+    @lru_cache(maxsize=8)
+    def ones(bit: int) -> np.ndarray:
+        """Before each row, the rows that have the bit; bits count down from the first word's highest."""
+        return np.concatenate([[0], np.cumsum(keys[:, (last - bit) // BITS] >> np.uint64(bit % BITS) & np.uint64(1), dtype=np.int64)])
+
+    work = [(last, first, stop, first, stop, np.zeros(len(first), dtype=np.int16))]
     while work:
         bit, a0, a1, b0, b1, error = work.pop()
         open_ = ~forest.one(a0, a1, b0, b1)
@@ -134,12 +161,12 @@ def trie_links(keys: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
         leaves = (a1 - a0 == 1) & (b1 - b0 == 1)
         if leaves.any():
             a, b = a0[leaves], b0[leaves]
-            close = np.bitwise_count(keys[a] ^ keys[b]) <= radius
+            close = apart(a, b) <= radius
             forest.link(a[close], b[close])
             a0, a1, b0, b1, error = a0[~leaves], a1[~leaves], b0[~leaves], b1[~leaves], error[~leaves]
         if not len(a0) or bit < 0:
             continue
-        one = ones[bit]
+        one = ones(bit)
         am, bm = a1 - (one[a1] - one[a0]), b1 - (one[b1] - one[b0])  # where the bit turns to 1
         same = (a0 == b0) & (a1 == b1)
         kids = []
@@ -148,7 +175,7 @@ def trie_links(keys: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
             if which is not None:
                 ok &= which
             ok &= ~((x0 == y0) & (x1 == y1) & (x1 - x0 == 1))
-            kids.append((x0[ok], x1[ok], y0[ok], y1[ok], (error[ok] + more).astype(np.int8)))
+            kids.append((x0[ok], x1[ok], y0[ok], y1[ok], (error[ok] + more).astype(np.int16)))
         work.append((bit - 1, *(np.concatenate(x) for x in zip(*kids, strict=True))))
     return forest.label
 
@@ -174,19 +201,42 @@ def _bucket_of(band: list[tuple[int, int]]):
     return bits
 
 
-def _joiner(radius: int, at_once: int = 1 << 17):
-    """Rows (band, bucket, pair, fp), sorted by the first three: edges (u, v) of spanning forests."""
+def tables(n: int, width: int, recall: float, seed: int = 11) -> np.ndarray:
+    """(tables, bits): the sampled bits of each table. Their number grows with the logarithm of n, so that buckets of
+    unlike fingerprints stay small; that of the tables grows with it, so that the recall stays the same."""
+    bits = min(32, max(14, math.ceil(math.log2(max(n, 1) / 4))))
+    many = math.ceil(math.log(1 - recall) / math.log(1 - 0.875**bits))
+    rng = np.random.default_rng(seed)
+    return np.stack([rng.permutation(BITS * width)[:bits] for _ in range(many)])
+
+
+def _sampled(chosen: np.ndarray, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.rows_of(batches, 8192):
+            fps = np.stack([c.to_numpy() for c in batch.columns], axis=1).view(np.uint64)
+            for band, own in enumerate(chosen):
+                bucket = np.zeros(len(fps), dtype=np.uint64)
+                for bit in own.tolist():
+                    bucket = bucket << np.uint64(1) | fps[:, bit // BITS] >> np.uint64(bit % BITS) & np.uint64(1)
+                columns = [*batch.columns, pa.array(np.full(len(fps), band, dtype=np.int32)), pa.array(bucket.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "band", "bucket"])
+
+    return run
+
+
+def _joiner(radius: int, width: int, at_once: int = 1 << 17):
+    """Rows (band, bucket, pair, node, fp...), sorted by the first three: edges (u, v) of spanning forests."""
 
     def solved(columns: list[np.ndarray]) -> pa.RecordBatch | None:
-        group, fp = np.cumsum(np.any([np.diff(c, prepend=c[0]) != 0 for c in columns[:3]], axis=0)), columns[3].view(np.uint64)
-        order = np.lexsort((fp, group))
-        group, fp = group[order], fp[order]
+        group = np.cumsum(np.any([np.diff(c, prepend=c[0]) != 0 for c in columns[:3]], axis=0))
+        fp = np.stack([c.view(np.uint64) for c in columns[4:]], axis=1)
+        order = np.lexsort((*fp.T[::-1], group))
+        group, fp, node = group[order], fp[order], columns[3][order]
         label = trie_links(fp, group, radius)
         joined = np.flatnonzero(label != np.arange(len(label)))
         if not len(joined):
             return None
-        u, v = fp[label[joined]].view(np.int64), fp[joined].view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(node[label[joined]]), pa.array(node[joined])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -210,25 +260,34 @@ def _joiner(radius: int, at_once: int = 1 << 17):
     return run
 
 
-def links(prints: DataFrame, *, radius: int = 4, n: int | None = None) -> DataFrame:
-    """Edges (u, v), u and v of the distinct column fp of prints, that connect just what pairs within radius connect."""
+def node_of(width: int):
+    """What names a fingerprint in edges: itself, or a wide one's hash."""
+    return F.col("fp") if width == 1 else F.xxhash64(*columns_of(width))
+
+
+def links(prints: DataFrame, *, radius: int = 4, width: int = 1, n: int | None = None) -> DataFrame:
+    """Edges (u, v) between nodes of the distinct fingerprints of prints, that connect just what pairs within radius
+    connect (of wide fingerprints: of the pairs that meet in a table)."""
     spark = prints.sparkSession
     n = prints.count() if n is None else n
-    parts = []
-    for k, band in enumerate(choices(n, radius)):
-        parts.append(F.struct(F.lit(k).alias("band"), _bucket_of(band).alias("bucket")))
-    rows = prints.select("fp", F.explode(F.array(*parts)).alias("x")).select("fp", "x.band", "x.bucket")
+    names = columns_of(width)
+    if width == 1:
+        parts = [F.struct(F.lit(k).alias("band"), _bucket_of(band).alias("bucket")) for k, band in enumerate(choices(n, radius))]
+        rows = prints.select("fp", F.explode(F.array(*parts)).alias("x")).select("fp", "x.band", "x.bucket")
+    else:
+        schema = ", ".join([*(f"{x} long" for x in names), "band int, bucket long"])
+        rows = prints.select(*names).mapInArrow(_sampled(tables(n, width, RECALL), names), schema)
     hot = rows.groupBy("band", "bucket").count().filter(F.col("count") > SPLIT)
     hot = hot.select("band", "bucket", F.ceil(F.col("count") / SPLIT).cast("int").alias("chunks"))
     rows = rows.join(hot, ["band", "bucket"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    rows = rows.withColumn("side", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("side", F.pmod(F.xxhash64(*names), F.col("chunks")).cast("int"))
     # chunk i meets chunk j in the pair (min, max); a bucket of one chunk is the pair (0, 0)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pair = F.least("side", "other").cast("long") * F.lit(1 << 31) + F.greatest("side", "other").cast("long")
-    rows = rows.select("band", "bucket", pair.alias("pair"), "fp")
+    rows = rows.select("band", "bucket", pair.alias("pair"), node_of(width).alias("node"), *names)
     tasks = common.shuffle_partitions(spark)
     rows = rows.repartition(tasks, "band", "bucket", "pair").sortWithinPartitions("band", "bucket", "pair")
-    return rows.mapInArrow(_joiner(radius), "u long, v long").distinct()
+    return rows.mapInArrow(_joiner(radius, width), "u long, v long").distinct()
 
 
 def components(edges: DataFrame, folder: str, most: int = 60) -> DataFrame:
@@ -257,15 +316,16 @@ def components(edges: DataFrame, folder: str, most: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
-    """id_col, fp (long) and component_id, the smallest id in the component, for every row of docs."""
-    folder = common.work_dir(docs.sparkSession, "simhash")
-    prints = common.stage(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed), f"{folder}/prints")
-    classes = common.stage(prints.groupBy("fp").agg(F.min(id_col).alias("least_id")), f"{folder}/classes")
-    nodes = components(links(classes.select("fp"), radius=radius), folder)
-    rooted = classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(id_col, "fp", "component_id")
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, radius: int = 4, width: int = 1) -> DataFrame:
+    """id_col, the fingerprint (fp, and fp1, ... of a wide one) and component_id, the smallest id in the component, for
+    every row of docs."""
+    folder, names = common.work_dir(docs.sparkSession, "simhash"), columns_of(width)
+    prints = common.stage(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed, width=width), f"{folder}/prints")
+    classes = common.stage(prints.groupBy(*names).agg(F.min(id_col).alias("least_id")).withColumn("node", node_of(width)), f"{folder}/classes")
+    nodes = components(links(classes.select(*names), radius=radius, width=width), folder)
+    rooted = classes.join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select(*names, "component_id")
+    return prints.join(named, names).select(id_col, *names, "component_id")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
