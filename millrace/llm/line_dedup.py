@@ -152,16 +152,17 @@ def drop_shared_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """docs with text_col without the lines that it loses, and n_lines (before) and n_dropped. A null text is null
     still. Columns of docs named n_lines or n_dropped are replaced."""
     lost = shared_lines(docs, id_col=id_col, text_col=text_col, least=least, documents=documents)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text_in = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(F.struct(*names).alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("text"), F.unhex(F.md5(text)).alias("digest"))
+    rows = docs.select(F.struct(*names).alias("row"), F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text_in(text_col))).alias("digest"))
+    text = text_in(f"row.`{text_col}`")  # the text is shuffled once, within its row
     joined = rows.join(lost.toDF("_id", "_digest", "drop"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
-    count = (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long")
+    count = (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long")
     # the lines are bound once, as the one element of an array; what stays is looked up by number
     stay = F.array_except(F.sequence(F.lit(0), (count - 1).cast("int")), F.col("drop"))
-    kept = F.transform(F.array(F.split("text", "\n", -1)), lambda lines: F.array_join(F.transform(stay, lambda k: F.get(lines, k)), "\n"))[0]
-    new = F.when(F.col("drop").isNull(), F.col(f"row.{text_col}")).otherwise(kept)
-    return joined.select(*[new.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in names], count.alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    kept = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(F.transform(stay, lambda k: F.get(lines, k)), "\n"))[0]
+    new = F.when(F.col("drop").isNull(), F.col(f"row.`{text_col}`")).otherwise(kept)
+    return joined.select(*[new.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in names], count.alias("n_lines"), F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("n_dropped"))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
