@@ -120,7 +120,7 @@ class Model:
         out, letters = [], []
         for k in range(0, len(words), 4096):
             own = features(words[k : k + 4096])
-            x = self.weights[own].sum(axis=1)
+            x = sum(self.weights[f] for f in own.T)
             out.append(np.exp(np.maximum(x - x.max(axis=1, keepdims=True), -30)))
             letters.append((own != 0).any(axis=1))
         return np.concatenate(out).astype(np.float32), np.concatenate(letters)
@@ -159,16 +159,16 @@ def fit(samples: list[tuple[str, str]], seed: int = 1, rate: float = 0.2, decay:
     params = [np.zeros((size, k)), np.zeros(k), np.zeros((k, k))]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     total = mask.sum()
-    flat_feats, flat_ids = feats.ravel(), ids[mask]
+    flat_ids = ids[mask]
     for turn in range(1, STEPS + 1):
         weights, start, step = params
-        score = weights[feats].sum(axis=1)
+        score = sum(weights[own] for own in feats.T)
         scores = np.exp(score - score.max(axis=1, keepdims=True))[ids]
         scores[~mask] = 1
         gamma, pairs, first = forward_backward(scores, mask, np.exp(start), np.exp(step))
         slope = (gold - gamma * mask[..., None])[mask]
         by_word = np.stack([np.bincount(flat_ids, slope[:, j], len(feats)) for j in range(k)], axis=1)
-        grad = np.stack([np.bincount(flat_feats, np.repeat(by_word[:, j], feats.shape[1]), size) for j in range(k)], axis=1)
+        grad = np.stack([sum(np.bincount(own, by_word[:, j], size) for own in feats.T) for j in range(k)], axis=1)
         grad[0] = 0
         own = mask[:, 0]
         grads = [grad / total - decay * weights, ((gold[:, 0] - first) * own[:, None]).sum(axis=0) / total, (gold_pairs - pairs) / total]
@@ -183,7 +183,7 @@ def fit(samples: list[tuple[str, str]], seed: int = 1, rate: float = 0.2, decay:
 class Labeller:
     """Distributions of the words of texts; remembers the scores of words."""
 
-    CACHED = 300_000
+    CACHED = 200_000
 
     def __init__(self, model: Model):
         self.model = model
