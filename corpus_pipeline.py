@@ -16,6 +16,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.5
 #: Bits of 256.
 RADIUS = 42
+#: Shares go to this power: nearer to 1, fewer documents of frequent kinds are left out.
+TEMPER = 0.9
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: samples documents so that sources, languages and topics come to their tempered shares."""
     common.ship(spark)
-    return mixing.mix(docs.select(*COLUMNS)).filter("sampled").select(*COLUMNS)
+    return mixing.mix(docs.select(*COLUMNS), temper=TEMPER).filter("sampled").select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
