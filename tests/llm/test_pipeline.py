@@ -1,0 +1,97 @@
+"""The corpus pipeline against what its stages promise, and the llm queries against their SQL."""
+
+import hashlib
+import os
+import random
+
+import duckdb
+import public_tokenizers
+import pytest
+import sentencepiece
+
+import corpus_pipeline
+from millrace.llm.queries import ORACLE_SQL, QUERIES
+from tests.llm.test_line_dedup import brute as without_shared_lines
+from tests.llm.test_mixing import drawn
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = list(corpus_pipeline.COLUMNS)
+WORDS = {"en": ["the", "thing", "worth", "other", "shall", "when"], "fr": ["eau", "quelle", "très", "déjà", "voir", "même"]}
+
+
+def made(seed=1):
+    """(doc_id, text, lang, source), and which documents are copies of which."""
+    rng, rows, copy_of = random.Random(seed), [], {}
+    prose = lambda lang, n: " ".join(rng.choice(WORDS[lang]) + rng.choice(["", "", str(rng.randint(0, 9999))]) for _ in range(n))
+    shared = "this line is shared by many documents of the table"
+    for k in range(60):
+        lang = rng.choice(["en", "fr"])
+        rows.append((k, "\n".join([prose(lang, 150), shared, prose(lang, 150)] if k % 4 == 0 else [prose(lang, 300)]), lang, rng.choice("ab")))
+    for k in range(60, 75):
+        source = rows[rng.randrange(60)]
+        words = source[1].split(" ")
+        if k % 3:
+            words[rng.randrange(len(words))] = "changed"
+        rows.append((k, " ".join(words), source[2], source[3]))
+        copy_of[k] = source[0]
+    rows += [(80, None, "en", "a"), (81, "12 34 !", "en", "a"), (82, prose("fr", 200), None, None), (None, prose("en", 200), "en", None)]
+    return rows, copy_of
+
+
+def staged(spark, docs, folder):
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, "").write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        out[name] = docs
+    return out
+
+
+def test_stages(spark, tmp_path):
+    rows, copy_of = made()
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/sf/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/sf/documents.parquet")
+    out = staged(spark, docs, tmp_path)
+    assert all(out[name].columns == COLUMNS for name, _ in corpus_pipeline.STAGES[:-1])
+
+    kept = {r.doc_id: r for r in out["language"].collect()}
+    assert kept.keys() == {r[0] for r in rows} - {80, 81}
+    assert kept[82].lang == "fr" and all(kept[r[0]].text == r[1] for r in rows if r[0] in kept)
+
+    want = {i: (t, n, d) for i, t, n, d in without_shared_lines([(i, r.text) for i, r in kept.items()])}
+    lines = {r.doc_id: r for r in out["line_dedup"].collect()}
+    assert {i: r.text for i, r in lines.items()} == {i: t for i, (t, _, _) in want.items()}
+    assert all(r.n_chars == len(r.text) for r in lines.values()) and sum(d for _, _, d in want.values()) > 10
+
+    single = {r.doc_id for r in out["near_duplicates"].collect()}
+    assert single == lines.keys() - copy_of.keys()
+
+    mixed = {r.doc_id for r in out["mixture"].collect()}
+    table = {r.doc_id: r for r in corpus_pipeline.mixing.mix(out["near_duplicates"], temper=corpus_pipeline.TEMPER).collect()}
+    assert mixed == {i for i, r in table.items() if drawn(i) < r.probability} and len(mixed) > len(single) / 3
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    last = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out["sentencepiece"].collect()}
+    texts = {r.doc_id: r.text for r in out["mixture"].collect()}
+    ids = {i: [*library.encode(t), 2] for i, t in texts.items()}
+    assert last == {i: (len(x), sha(" ".join(map(str, x))), sha(library.decode(x))) for i, x in ids.items()}
+
+    again = corpus_pipeline.run(spark, f"{tmp_path}/sf").collect()
+    assert sorted(map(str, again)) == sorted(map(str, out["sentencepiece"].collect()))
+
+
+def test_empty(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert staged(spark, docs, tmp_path)["sentencepiece"].count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", ORACLE_SQL)
+def test_sql(spark, name):
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    a, b = QUERIES[name](spark, SF).toPandas(), connection.execute(ORACLE_SQL[name]).df()
+    rows = lambda f: sorted(map(repr, f[sorted(f.columns)].astype(object).values.tolist()))
+    assert sorted(a.columns) == sorted(b.columns) and rows(a) == rows(b)
