@@ -22,11 +22,10 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -152,6 +151,65 @@ class PlaneReader:
 # ---------------------------------------------------------------------------------------------------------- encoding
 
 _ENCODERS: dict[str, WordCacheEncoder] = {}
+#: Words of up to this many bytes are compared as they are; longer ones by a 128-bit hash.
+SHORT = 24
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[list(b" \t\n\x0b\x0c\r")] = True
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+class _Words:
+    """The words of a buffer that ends in white space: places, content keys and hashes of those."""
+
+    def __init__(self, buffer: bytes):
+        self.buffer = buffer + b"\n" * (SHORT + 8)
+        white = _WHITE[np.frombuffer(self.buffer, dtype=np.uint8)]
+        edges = np.flatnonzero(white[1:] != white[:-1]) + 1
+        if not white[0]:
+            edges = np.concatenate([[0], edges])
+        self.starts, self.stops = edges[::2], edges[1::2]
+        size = self.stops - self.starts
+        at_any = np.ndarray(len(self.buffer) - 7, dtype="<u8", buffer=self.buffer, strides=(1,))  # 8 bytes from any place
+        keys = [at_any[self.starts + 8 * k] & _MASKS[np.clip(size - 8 * k, 0, 8)] for k in range(3)]
+        for k in np.flatnonzero(size > SHORT).tolist():
+            digest = xxhash.xxh3_128_intdigest(self.word(k))
+            keys[0][k], keys[1][k], keys[2][k] = digest & (1 << 64) - 1, digest >> 64, (1 << 64) - 1
+        self.keys = np.stack([*keys, size.astype(np.uint64)], axis=1)
+        x = np.zeros(len(size), dtype=np.uint64)
+        for own in self.keys.T:
+            x = (x + own) * np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(29)
+        self.hashes = x
+
+    def word(self, k: int) -> bytes:
+        return self.buffer[self.starts[k] : self.stops[k]]
+
+
+class _Table:
+    """Known words, by hash: their keys, and where their ids are."""
+
+    def __init__(self) -> None:
+        self.hashes, self.keys = np.empty(0, dtype=np.uint64), np.empty((0, 4), dtype=np.uint64)
+        self.first, self.count = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+
+    def find(self, hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each is known, and its row. A known hash with another key is an error."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        known = self.hashes[at] == hashes
+        if (self.keys[at[known]] != keys[known]).any():
+            raise _Collision
+        return known, at
+
+    def add(self, hashes: np.ndarray, keys: np.ndarray, first: np.ndarray, count: np.ndarray) -> None:
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.keys = np.insert(self.hashes, at, hashes), np.insert(self.keys, at, keys, axis=0)
+        self.first, self.count = np.insert(self.first, at, first), np.insert(self.count, at, count)
+
+
+class _Collision(Exception):
+    """Two words have one hash."""
 
 
 class WordCacheEncoder:
@@ -161,11 +219,14 @@ class WordCacheEncoder:
     case, then a split whose matches never hold white space, and BPE within a match), no token reaches over ASCII white
     space, so the ids of a text are those of its pieces between it, in order; A-Z may be lowered before. A run of Latin
     letters is one match, whose last token alone ends in the end-of-word mark, so many of them go to the library at
-    once, and a full stop or comma after it is a match of its own. With any other file, and for texts that hold an
-    added token's string, the library gets whole texts.
+    once, and a full stop or comma after it is a match of its own. Words are cut, looked up and put together for many
+    texts at a time, in arrays. With any other file, and for texts that hold an added token's string, the library gets
+    whole texts; so it does if two words ever have one hash.
     """
 
-    CACHED = 250_000  # in each of two generations
+    CACHED = 1_200_000
+    RECENT = 100_000
+    AT_ONCE = 3 << 20
     LETTERS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]?)")
 
     def __init__(self, path: str):
@@ -182,8 +243,11 @@ class WordCacheEncoder:
             ends = [i for token, i in spec["model"]["vocab"].items() if token.endswith(spec["model"]["end_of_word_suffix"])]
             self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
             self.ends[ends] = True
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.main, self.recent = _Table(), _Table()
+        self.pool, self.used = np.empty(1 << 16, dtype="<u4"), 0
 
     @staticmethod
     def _word_local(spec: dict) -> bool:
@@ -209,56 +273,87 @@ class WordCacheEncoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _letters(self, words: list[bytes]) -> None:
-        """Learns runs of letters, many at a time."""
-        for k in range(0, len(words), 512):
-            some = words[k : k + 512]
-            ids = np.array(self.library.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = ((np.flatnonzero(self.ends[ids]) + 1) * ID_BYTES).tolist()
-            raw = ids.tobytes()
-            self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) > self.CACHED:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = set(words)
-        if older:
-            kept = new.intersection(older)
-            known.update(zip(kept, map(older.__getitem__, kept), strict=True))
-            new -= kept
-        plain = [w for w in new if w.isalpha()]  # a-z
-        marked, rest = [], []
-        for word in new.difference(plain):
+    def _ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words, one after another, and how many each has."""
+        counts, parts, at, rest = np.zeros(len(words), dtype=np.int64), [], [], []
+        joined, marks = [], []
+        for k, word in enumerate(words):
             found = self.LETTERS.fullmatch(word)
-            if not found:
-                rest.append(word)
-            elif found[2]:
-                marked.append((word, found[1], found[2]))
+            if found:
+                at.append(k)
+                joined.append(word if not found[2] else found[1] + b" " + found[2])
+                marks.append(2 if found[2] else 1)
             else:
-                plain.append(word)
-        self._letters(plain)
-        self._letters(list({stem for _, stem, _ in marked}.difference(known)))
-        marks = dict(zip((b".", b","), self.whole([".", ","]), strict=True))
-        known.update([(word, known[stem] + marks[mark]) for word, stem, mark in marked])
-        known.update(zip(rest, self.whole([w.decode() for w in rest]), strict=True))
+                rest.append(k)
+        for k in range(0, len(joined), 512):
+            ids = np.array(self.library.encode_batch_fast([b" ".join(joined[k : k + 512]).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids])[np.cumsum(marks[k : k + 512]) - 1] + 1
+            counts[at[k : k + 512]] = np.diff(stops, prepend=0)
+            parts.append(ids)
+        for k, ids in zip(rest, self.whole([words[k].decode() for k in rest]), strict=True):
+            counts[k] = len(ids) // ID_BYTES
+            parts.append(np.frombuffer(ids, dtype="<u4"))
+        order = np.array(at + rest, dtype=np.int64)  # as the parts are
+        firsts = np.empty(len(words), dtype=np.int64)
+        firsts[order] = np.cumsum(counts[order]) - counts[order]
+        flat = np.concatenate(parts) if parts else np.empty(0, dtype="<u4")
+        return flat, np.stack([firsts, counts])
+
+    def _learn(self, words: _Words, hashes: np.ndarray, rows: np.ndarray) -> None:
+        flat, places = self._ids_of([words.word(k) for k in rows.tolist()])
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(self.used + 2 * len(flat), dtype="<u4")])
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.recent.add(hashes, words.keys[rows], places[0] + self.used, places[1])
+        self.used += len(flat)
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        """ids of lowered texts, which are held together."""
+        buffer = b"\n".join([*texts, b""])
+        words = _Words(buffer)
+        hashes, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+        keys = words.keys[first]
+        if (keys[inverse] != words.keys).any():
+            raise _Collision
+        if len(self.main.hashes) + len(self.recent.hashes) > self.CACHED:
+            self._forget()
+        if len(self.recent.hashes) > self.RECENT:
+            self.main.add(self.recent.hashes, self.recent.keys, self.recent.first, self.recent.count)
+            self.recent = _Table()
+        old, at = self.main.find(hashes, keys)
+        new = np.flatnonzero(~old)
+        known, _ = self.recent.find(hashes[new], keys[new])
+        self._learn(words, hashes[new[~known]], first[new[~known]])
+        begin, count = np.empty(len(hashes), dtype=np.int64), np.empty(len(hashes), dtype=np.int64)
+        begin[old], count[old] = self.main.first[at[old]], self.main.count[at[old]]
+        _, at = self.recent.find(hashes[new], keys[new])
+        begin[new], count[new] = self.recent.first[at], self.recent.count[at]
+        counts = count[inverse]
+        total = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.pool[np.repeat(begin[inverse] - total[:-1], counts) + np.arange(total[-1])]
+        places = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        stops = total[np.searchsorted(words.starts, places)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(stops, stops[1:], strict=False)]
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self.whole(texts)
         lowered = [text.encode().lower() for text in texts]
         special = {k for k, text in enumerate(lowered) if any(token in text for token in self.added_bytes)}
-        words = [[] if k in special else text.split() for k, text in enumerate(lowered)]
-        parts = [list(map(self.known.get, each)) for each in words]
-        gaps = [k for k, part in enumerate(parts) if None in part]
-        missing: set[bytes] = set()
-        for k in gaps:
-            missing.update(compress(words[k], map(is_, parts[k], repeat(None))))
-        self._learn(missing)
-        known = self.known
-        for k in gaps:
-            parts[k] = [known[word] if part is None else part for word, part in zip(words[k], parts[k], strict=True)]
-        out = [b"".join(part) for part in parts]
+        out: list[bytes] = []
+        start = size = 0
+        for k, text in enumerate(lowered):
+            size += len(text)
+            if size >= self.AT_ONCE or k + 1 == len(texts):
+                try:
+                    out += self._encode([b"" if j in special else lowered[j] for j in range(start, k + 1)])
+                except _Collision:
+                    out += self.whole(texts[start : k + 1])
+                start, size = k + 1, 0
         for k in special:
             out[k] = self.whole([texts[k]])[0]
         return out

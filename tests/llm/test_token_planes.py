@@ -73,12 +73,30 @@ def test_odd_ids(text):
 
 
 def test_small_cache(monkeypatch):
-    monkeypatch.setattr(token_planes.WordCacheEncoder, "CACHED", 3)
+    monkeypatch.setattr(token_planes.WordCacheEncoder, "CACHED", 6)
+    monkeypatch.setattr(token_planes.WordCacheEncoder, "RECENT", 2)
     own = token_planes.WordCacheEncoder(WORDS)
     for text in ["a b c d e", "d, e. f g", "a b z, zz", "f g a,"] * 3:
         assert np.frombuffer(own([text])[0], "<u4").tolist() == library_ids(WORDS, text)
 
 
+def test_collisions_and_long_words(monkeypatch):
+    texts = ["a bc d", "", "x" * 23 + " " + "x" * 24 + " " + "x" * 25 + " " + "x" * 24 + "y", "\x00 a\x00 a", "é" * 12 + " " + "é" * 13, "last"]
+    want = [library_ids(WORDS, t) for t in texts]
+    own = token_planes.WordCacheEncoder(WORDS)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own(texts)] == want
+    monkeypatch.setattr(own, "AT_ONCE", 4)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own(texts)] == want
+    words = token_planes._Words.__init__
+
+    def same_hash(self, buffer):
+        words(self, buffer)
+        self.hashes[:] = 7
+
+    monkeypatch.setattr(token_planes._Words, "__init__", same_hash)
+    assert [np.frombuffer(x, "<u4").tolist() for x in token_planes.WordCacheEncoder(WORDS)(texts)] == want
+
+
 def test_other_tokenizer_gets_whole_texts():
     own = token_planes.WordCacheEncoder(OTHER)
     assert not own.by_word
