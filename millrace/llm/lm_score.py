@@ -338,7 +338,8 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     folder, slices = common.work_dir(spark, "lm"), max(16, common.shuffle_partitions(spark))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    parts = rows.mapInArrow(_tokenize(folder, slices), PARTS)
+    # written before it is shuffled: a task that is run again makes chunks of other names, which must not mix with these
+    parts = common.stage(rows.mapInArrow(_tokenize(folder, slices), PARTS), f"{folder}/parts")
     parts = parts.repartition(slices, "slice", "pairs").sortWithinPartitions("slice", "pairs")
     sums = common.stage(parts.mapInArrow(_sum_up(bits_per_entry), SUMS), f"{folder}/sums")
     filters = f"{folder}/filters"
