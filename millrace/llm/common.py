@@ -8,7 +8,7 @@ but unread files behind.
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import uuid
 import zipfile
@@ -25,16 +25,19 @@ _SHIPPED: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for each application, so that it need not be installed there."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
         return
-    package = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="millrace-"), f"{package.name}.zip")
-    with zipfile.ZipFile(target, "w") as out:
+    package, packed = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as out:
         for file in sorted(package.rglob("*.py")):
             out.write(file, file.relative_to(package.parent))
-    spark.sparkContext.addPyFile(target)
-    _SHIPPED.add(app)
+    target = context._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark, 'package')}/{package.name}.zip")
+    stream = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
+    context.addPyFile(target.toString())
+    _SHIPPED.add(context.applicationId)
 
 
 def shared_root(spark: SparkSession) -> str:
