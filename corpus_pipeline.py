@@ -38,13 +38,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10, with shingles of five words and fingerprints of 256 bits: of each group of linked documents, the one
-    with the smallest id stays. Texts whose sets of shingles have a similarity of 0.8 differ in 0.15 of the bits, or 39;
-    with RADIUS those of 0.8 and more are linked. Documents whose text is empty once lines have gone are one group."""
+    with the smallest id stays (one without an id only if none has one). Texts whose sets of shingles have a similarity
+    of 0.8 differ in 0.15 of the bits, or 39; with RADIUS those of 0.8 and more are linked. Documents whose text is empty
+    once lines have gone are one group. Rows are told apart by id and text, so rows that repeat one are copies too."""
     common.ship(spark)
-    found = simhash.near_duplicates(docs, words=5, width=4, radius=RADIUS).select(F.col("doc_id").alias("id"), "component_id").distinct()
-    keepers = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select("id")
-    kept = docs.select(*COLUMNS).join(keepers, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    docs = docs.select(*COLUMNS).withColumn("row", F.xxhash64("doc_id", "text"))
+    found = simhash.near_duplicates(docs.select("row", "text"), id_col="row", words=5, width=4, radius=RADIUS)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    kept = docs.select("row", "doc_id").join(found.select("row", "component_id").distinct(), "row").groupBy("component_id").agg(first)
+    return docs.join(kept.select("first.row"), "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
