@@ -13,7 +13,7 @@ from millrace.llm import common, lang_id, line_dedup, mixing, pieces, simhash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if its language is not told at least this well.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 #: Bits of 256.
 RADIUS = 42
 #: Shares go to this power: nearer to 1, fewer documents of frequent kinds are left out.
