@@ -274,7 +274,7 @@ def _filter_groups(sizes: dict[int, int]) -> list[list[int]]:
     return groups
 
 
-def _score(n: int, v: int, slices: int, groups: list[list[int]], one, filters: str, id_col: str, out: str):
+def _score(n: int, v: int, slices: int, groups: list[list[int]], one, filters: str, id_col: str):
     import pyarrow.parquet as pq
 
     def load(group: list[int]) -> Filters:
@@ -351,7 +351,7 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
     replies = sums.filter("kind = 'reply'").select("chunk", "slice", "data")
     replies = replies.repartition(max(1, common.shuffle_partitions(spark)), "chunk").sortWithinPartitions("chunk", "slice").select("chunk", "data")
     out = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return replies.mapInArrow(_score(totals[0] or 0, totals[1] or 0, slices, groups, one, filters, id_col, out), out)
+    return replies.mapInArrow(_score(totals[0] or 0, totals[1] or 0, slices, groups, one, filters, id_col), out)
 
 
 def op7_lm_score(spark, sf_dir: str) -> DataFrame:

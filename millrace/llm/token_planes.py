@@ -20,7 +20,6 @@ import json
 import os
 import re
 import struct
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np

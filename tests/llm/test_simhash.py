@@ -101,7 +101,7 @@ def test_operator(spark, docs_of):
 @pytest.mark.parametrize("seed", range(4))
 def test_wide_trie_links(seed):
     rng = random.Random(seed)
-    wide = sorted({tuple(x) for x in zip(*(cloud(random.Random(seed * 10 + k // 2 * 0 + k), 120, 6, 20) for k in range(2)))})
+    wide = sorted({tuple(x) for x in zip(*(cloud(random.Random(seed * 10 + k), 120, 6, 20) for k in range(2)))})
     keys = np.array(wide, dtype=np.uint64)
     whole = [a << 64 | b for a, b in wide]
     radius = rng.choice([20, 30, 40])
