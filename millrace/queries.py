@@ -15,6 +15,7 @@ from millrace.plans.spec import Edge, Stage, Topology
 from millrace.plans.validate import validate
 from millrace.registry import fingerprint
 from millrace.sources import range_rows, table_lines, table_values
+from millrace.streaming.progress import completed_prefix
 
 JOB = bytes(range(1, 17))
 PARTS = 4
@@ -200,13 +201,21 @@ def status_aggregates(spark, sf_dir):
     return own.withColumn("contiguous", F.col("rows") == F.col("last_seq"))
 
 
+def watermark_prefix(spark, sf_dir):
+    """How far each source partition is complete when some of its rows are missing."""
+    orders = _table(spark, sf_dir, "orders")
+    rows = dealt(orders.filter("o_custkey % 97 <> 5").select(F.col("o_orderkey").alias("value")))
+    eofs = dealt(orders.select(F.col("o_orderkey").alias("value"))).groupBy(F.col("_src_partition").alias("part")).agg(F.max("_src_seq").alias("eof"))
+    return completed_prefix(rows.select(F.col("_src_partition").alias("part"), F.col("_src_seq").alias("seq")), eofs, block=16)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         src_range, source_dealing, src_lines_documents, src_lines_corpus, op_multiply_lineitem, op_even_orders, op_less_than_orders, chain_scale_filter,
         op_split_words_documents, op_min_length_documents, count_by_word_top, count_by_event_type, count_by_user_string_order, count_by_totals,
         job_word_count, job_numbers, lineage_source_ids, lineage_child_ids, route_field_hash, route_shuffle, route_broadcast, fan_out_fan_in,
-        parallel_edges_collapse, result_order_page, seal_inventory, seal_inventory_words, status_aggregates,
+        parallel_edges_collapse, result_order_page, seal_inventory, seal_inventory_words, status_aggregates, watermark_prefix,
     )
 }
 
@@ -271,6 +280,7 @@ def _oracles() -> dict[str, str]:
         "result_order_page": f"SELECT value, CAST(part AS INTEGER) AS part, seq FROM {_DEALT} WHERE (part, seq) > (1, 500) ORDER BY part, seq LIMIT {most}",
         "seal_inventory": f"SELECT CAST(l_orderkey % {PARTS} AS INTEGER) AS part, count(*) AS records, count(*) * 186 AS bytes, {checksum('l_orderkey')} FROM lineitem GROUP BY 1",
         "seal_inventory_words": f"{_DOCS} SELECT CAST(doc_id % {PARTS} AS INTEGER) AS part, count(*) AS records, CAST(sum(168 + 2 + 2 + 4 + 1 + 2 + strlen(word)) AS BIGINT) AS bytes, {checksum('word')} FROM words GROUP BY 1",
+        "watermark_prefix": f"SELECT CAST(part AS INTEGER) AS part, coalesce(min(CASE WHEN missing THEN seq END) - 1, max(seq)) AS completed, max(seq) AS eof, NOT bool_or(missing) AS final FROM (SELECT o_orderkey % {PARTS} AS part, o_orderkey // {PARTS} + 1 AS seq, o_custkey % 97 = 5 AS missing FROM orders) GROUP BY 1",
         "status_aggregates": f"SELECT CAST(part AS INTEGER) AS part, count(*) AS rows, max(seq) AS last_seq, count(*) = max(seq) AS contiguous FROM {_DEALT} GROUP BY 1",
     }
 

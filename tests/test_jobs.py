@@ -16,6 +16,7 @@ from millrace.plans import planner, spec
 from millrace.queries import JOB, graph
 from millrace.sources import range_rows, register_corpus, table_lines, table_values
 from millrace.store import Store
+from millrace.streaming import progress
 from tests.oracle import evaluate
 
 CLIENT = bytes(range(1, 17))
@@ -270,6 +271,15 @@ def test_command_line(spark, tmp_path, capsys):
 # ------------------------------------------------------------------------------------------------------------- streams
 
 
+@pytest.mark.parametrize("block", [1, 3, 1 << 16])
+def test_completed_prefix(spark, block):
+    done = {0: [1, 2, 3, 4, 5, 6, 7], 1: [2, 3, 4], 2: [1, 2, 3, 5, 6, 9, 9], 3: [], 4: [1, 1, 2], 5: [1, 2, 3, 4, 5, 6, 8]}
+    rows = spark.createDataFrame([(p, s) for p, own in done.items() for s in own], "part int, seq long")
+    eofs = spark.createDataFrame([(p, 7) for p in range(5)] + [(5, 8), (6, 0)], "part int, eof long")
+    got = {r.part: (r.completed, r.final) for r in progress.completed_prefix(rows, eofs, block).collect()}
+    assert got == {0: (7, True), 1: (0, False), 2: (3, False), 3: (0, False), 4: (2, False), 5: (6, False), 6: (0, True)}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     own = streaming.run_sealed(spark, WORDS, JOB, str(tmp_path), files_per_batch=2)
     batch = sealed(spark, WORDS, tmp_path / "batch")
