@@ -226,6 +226,7 @@ class WordCacheEncoder:
     CACHED = 1_200_000
     RECENT = 100_000
     AT_ONCE = 3 << 20
+    SPACE = re.compile(r"[\x20\x09-\x0D]")
     LETTERS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]?)")
 
     def __init__(self, path: str):
@@ -338,9 +339,29 @@ class WordCacheEncoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _cut(self, text: str) -> list[str]:
+        """Pieces of a long text that end before white space; the text itself if an added token may be in it."""
+        if any(token in text.encode().lower() for token in self.added_bytes):
+            return [text]
+        out, at = [], 0
+        while at < len(text):
+            found = self.SPACE.search(text, at + self.AT_ONCE)
+            stop = found.start() if found else len(text)
+            out.append(text[at:stop])
+            at = stop
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             return self.whole(texts)
+        long = {k: self._cut(text) for k, text in enumerate(texts) if len(text) > 2 * self.AT_ONCE}
+        out = self._batch(["" if k in long else text for k, text in enumerate(texts)])
+        for k, pieces in long.items():
+            out[k] = b"".join(self._batch(pieces))
+        return out
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
         lowered = [text.encode().lower() for text in texts]
         special = {k for k, text in enumerate(lowered) if any(token in text for token in self.added_bytes)}
         out: list[bytes] = []

@@ -97,6 +97,13 @@ def test_collisions_and_long_words(monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for x in token_planes.WordCacheEncoder(WORDS)(texts)] == want
 
 
+def test_long_texts_are_cut(monkeypatch):
+    own = token_planes.WordCacheEncoder(WORDS)
+    monkeypatch.setattr(own, "AT_ONCE", 10)
+    texts = ["short", "a bc, def\n" * 9, "x" * 90, "é ü\u2003ö " * 20, "a <|endoftext|> b " * 5, "", " " * 50, "last one"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own(texts)] == [library_ids(WORDS, t) for t in texts]
+
+
 def test_other_tokenizer_gets_whole_texts():
     own = token_planes.WordCacheEncoder(OTHER)
     assert not own.by_word
