@@ -61,6 +61,12 @@ def work_dir(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes all work folders below the shared one. Only results that were written elsewhere can be read afterwards."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/millrace")
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stage(df: DataFrame, path: str) -> DataFrame:
     """Writes df as Parquet and reads it again: cuts the lineage with a copy that outlives executors."""
     df.write.mode("overwrite").parquet(path)
