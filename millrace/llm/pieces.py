@@ -134,7 +134,9 @@ class Normalizer:
 class PieceEncoder:
     """ids and source lengths of the pieces of texts."""
 
-    CACHED = 250_000
+    CACHED = 150_000
+    LONG = 1 << 20
+    CUT = re.compile(f"[^ {SPACE}] ")
     CHUNK = re.compile(f"\n|[ {SPACE}]+[^ {SPACE}\n]*|[^ {SPACE}\n]+")
 
     def __init__(self, path: str):
@@ -223,25 +225,46 @@ class PieceEncoder:
             cuts.append(places[at])
         return np.diff(np.array(cuts, dtype=np.int32)).astype(np.int32)
 
+    def _learn(self, split: list[list[str]], head: bool = True) -> None:
+        """Makes the chunks of texts known; the first of each begins a text, with head."""
+        if len(self.known) > self.CACHED:
+            self.known.clear()
+        if len(self.heads) > self.CACHED:
+            self.heads.clear()
+        if head:
+            self.heads.update(self._new(list({x[0] for x in split}.difference(self.heads)), True))
+        self.known.update(self._new(list(set().union(*(x[head:] for x in split)).difference(self.known)), False))
+
+    def _look_up(self, chunks: list[str], head: bool = True) -> tuple[bytes, bytes]:
+        """ids and source lengths of known chunks."""
+        parts = [self.heads[chunks[0]], *map(self.known.__getitem__, chunks[1:])] if head and chunks else list(map(self.known.__getitem__, chunks))
+        return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+
+    def _long(self, text: str) -> tuple[bytes, bytes]:
+        """The same for a text that is cut into pieces, each where a space follows none."""
+        found, at = [], 0
+        while at < len(text):
+            cut = self.CUT.search(text, at + self.LONG)
+            stop = cut.start() + 1 if cut else len(text)
+            chunks = self.CHUNK.findall(text[at:stop])
+            self._learn([chunks], not at)
+            found.append(self._look_up(chunks, not at))
+            at = stop
+        return b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
+
     def __call__(self, texts: list[str], end: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids, begins and ends of the pieces of all texts, and the stops of the texts in them (from 0)."""
         tail = np.array([self.end_id] if end else [], dtype=np.int32).tobytes()
         none = np.zeros(len(tail) // 4, dtype=np.int32).tobytes()
         ids, lengths, firsts, counts = [], [], np.zeros(len(texts), dtype=np.int64), []
         if self.by_chunk:
-            split = [self.CHUNK.findall(text) for text in texts]
-            if len(self.known) > self.CACHED:
-                self.known.clear()
-            if len(self.heads) > self.CACHED:
-                self.heads.clear()
-            self.heads.update(self._new(list({x[0] for x in split if x}.difference(self.heads)), True))
-            self.known.update(self._new(list(set().union(*(x[1:] for x in split)).difference(self.known)), False))
-            get = self.known.__getitem__
-            for chunks in split:
-                parts = [self.heads[chunks[0]], *map(get, chunks[1:])] if chunks else []
-                own = b"".join([p[0] for p in parts])
+            long = {k: self._long(text) for k, text in enumerate(texts) if len(text) > self.LONG}
+            split = [[] if k in long else self.CHUNK.findall(text) for k, text in enumerate(texts)]
+            self._learn([chunks for chunks in split if chunks])
+            for k, chunks in enumerate(split):
+                own, sizes = long.get(k) or self._look_up(chunks)
                 ids += (own, tail)
-                lengths += ([p[1] for p in parts] if parts else []) + [none]
+                lengths += (sizes, none)
                 counts.append((len(own) + len(tail)) // 4)
         else:
             for k, text in enumerate(texts):

@@ -41,6 +41,18 @@ def test_any_text(text):
     assert not len(ids) or (begins[0], ends[-1]) == (0, len(text.encode()))
 
 
+def test_long_texts_are_cut(monkeypatch):
+    own = pieces.PieceEncoder(MODEL)
+    monkeypatch.setattr(own, "LONG", 5)
+    monkeypatch.setattr(own, "CACHED", 20)
+    texts = [*TEXTS, "ab  cd ▁ ef\n gh\n\nij " * 9, "abc", *TEXTS]
+    for text in texts:
+        assert ours(own, text) == spans(LIBRARY, text)
+    monkeypatch.setattr(own, "LONG", 12)
+    ids, _, _, stops = own(texts, end=False)
+    assert [ids[a:b].tolist() for a, b in zip(stops, stops[1:])] == LIBRARY.encode(texts)
+
+
 def test_whole_path_agrees():
     own = pieces.PieceEncoder(MODEL)
     own.by_chunk = False
