@@ -22,9 +22,10 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, combinations
+from itertools import accumulate, chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from millrace.llm import common
 
 BITS = 64
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
 #: Rows of a bucket, from which it is cut into chunks.
 SPLIT = 1 << 16
 #: Pairs of nodes that are held at once.
@@ -55,21 +57,37 @@ def _derived(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42, width: int = 1, block: int = 1 << 17) -> np.ndarray:
-    """The fingerprint of a whole text, width words of 64 bits, in memory for one block of shingles."""
-    tokens = text.lower().split()
-    if not tokens:
-        return np.zeros(width, dtype=np.uint64)
-    joined = b" ".join(tokens)
-    stops = list(accumulate(map(len, tokens), lambda a, b: a + b + 1))
-    n = max(1, len(tokens) - words + 1)
-    starts = [0, *(x + 1 for x in stops[: n - 1])]
-    ends = stops[words - 1 :] if len(tokens) >= words else stops[-1:]
-    hashed, counts = xxhash.xxh64_intdigest, np.zeros((width, BITS), dtype=np.int64)
-    for k in range(0, n, block):
-        hashes = np.array([hashed(joined[a:b], seed) for a, b in zip(starts[k : k + block], ends[k : k + block], strict=True)], dtype=np.uint64)
+def _token_blocks(text: bytes, overlap: int, size: int) -> Iterator[list[bytes]]:
+    """The words of a text in blocks of about size bytes, each after the first with the overlap words before it."""
+    at, kept = 0, []
+    while at < len(text):
+        stop = at + size
+        found = WHITE.search(text, stop) if stop < len(text) else None
+        stop = found.start() if found else len(text)
+        tokens = kept + text[at:stop].lower().split()
+        yield tokens
+        at, kept = stop, tokens[-overlap:] if overlap else []
+
+
+def fingerprint(text: bytes, words: int = 4, seed: int = 42, width: int = 1, block: int = 1 << 20) -> np.ndarray:
+    """The fingerprint of a whole text, width words of 64 bits, in memory for about block bytes of it."""
+    hashed, counts, n, tokens = xxhash.xxh64_intdigest, np.zeros((width, BITS), dtype=np.int64), 0, []
+
+    def count(hashes: list[int]) -> None:
+        nonlocal n
+        n += len(hashes)
+        own = np.array(hashes, dtype=np.uint64)
         for w in range(width):
-            counts[w] += np.unpackbits(_derived(hashes, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            counts[w] += np.unpackbits(_derived(own, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+    for tokens in _token_blocks(text, words - 1, block):
+        if len(tokens) >= words:
+            joined = b" ".join(tokens)
+            stops = list(accumulate(map(len, tokens), lambda a, b: a + b + 1))
+            starts = chain([0], (x + 1 for x in stops))
+            count([hashed(joined[a:b], seed) for a, b in zip(starts, stops[words - 1 :], strict=False)])
+    if not n and tokens:  # fewer words than a shingle has: they are all in the last block
+        count([hashed(b" ".join(tokens), seed)])
     return np.packbits(2 * counts > n, axis=1, bitorder="little").view(np.uint64).ravel()
 
 

@@ -37,7 +37,9 @@ def cloud(rng, n, centres, spread):
 @pytest.mark.parametrize("text", [None, "", " \n\t", "one", "a b c", "A b C d", "x y z w " * 700, "é ü ñ ö ß", "a b c d e", "a\x0bb\x1cc d e"])
 def test_fingerprint(text):
     assert simhash.fingerprint((text or "").encode()).tolist() == [slow_print(text)]
-    assert simhash.fingerprint((text or "").encode(), block=7, width=3).tolist()[0] == slow_print(text)
+    for block in (1, 2, 7, 100):
+        assert simhash.fingerprint((text or "").encode(), block=block, width=3).tolist()[0] == slow_print(text)
+    assert simhash.fingerprint((text or "").encode(), words=1, block=5).tolist() == [slow_print(text, 1)]
 
 
 @pytest.mark.parametrize("seed", range(8))
