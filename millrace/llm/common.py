@@ -21,11 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _SHIPPED: set[str] = set()
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, so that it need not be installed there."""
+    """Sends this package to the executors, once for each application, so that it need not be installed there; and bounds
+    the session's Arrow batches by BATCH_BYTES: rows hold whole texts, and each task has a batch on both sides."""
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if context.applicationId in _SHIPPED:
         return
     package, packed = Path(__file__).resolve().parents[1], io.BytesIO()
