@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import common, lang_id, line_dedup, mixing, pieces, simhash
+from millrace.llm import common, lang_id, line_dedup, mixing, pieces, shingles
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if its language is not told at least this well.
 LEAST_SCORE = 0.3
-#: Bits of 256.
-RADIUS = 42
+#: Of the sets of five-word shingles, from which documents are linked.
+SIMILARITY = 0.8
 #: Shares go to this power: nearer to 1, fewer documents of frequent kinds are left out.
 TEMPER = 0.9
 
@@ -37,13 +37,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10, with shingles of five words and fingerprints of 256 bits: of each group of linked documents, the one
-    with the smallest id stays (one without an id only if none has one). Texts whose sets of shingles have a similarity
-    of 0.8 differ in 0.15 of the bits, or 39; with RADIUS those of 0.8 and more are linked. Documents whose text is empty
-    once lines have gone are one group. Rows are told apart by id and text, so rows that repeat one are copies too."""
+    """Operator 10's groups, with candidates by min-wise hashes and the exact similarity of sets of five-word shingles, since
+    fingerprints only estimate it: of each group of linked documents, the one with the smallest id stays (one without an
+    id only if none has one). Documents whose text is empty once lines have gone are one group. Rows are told apart by
+    id and text, so rows that repeat one are copies too."""
     common.ship(spark)
     docs = docs.select(*COLUMNS).withColumn("row", F.xxhash64("doc_id", "text"))
-    found = simhash.near_duplicates(docs.select("row", "text"), id_col="row", words=5, width=4, radius=RADIUS)
+    found = shingles.near_duplicates(docs.select("row", "text"), id_col="row", words=5, similarity=SIMILARITY)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
     kept = docs.select("row", "doc_id").join(found.select("row", "component_id").distinct(), "row").groupBy("component_id").agg(first)
     return docs.join(kept.select("first.row"), "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)

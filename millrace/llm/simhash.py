@@ -6,7 +6,7 @@
 3. Two fingerprints of 64 bits within the radius r agree in at least b - r of b blocks of bits. For each choice of b - r blocks,
    the fingerprints are dealt out by those blocks; b grows with the number of fingerprints, so that what shares a
    bucket stays small. Every choice of b gives the same links. Wide fingerprints, for large radii, are dealt out by
-   tables of sampled bits instead, as many as find RECALL of the pairs that differ in 1 bit of 8.
+   tables of sampled bits instead, as many as find RECALL of the pairs that differ in radius bits.
 4. Within a bucket, the sorted fingerprints are a binary trie. Pairs of its nodes are walked together, bit by bit: the
    error of a pair grows where its nodes take different branches, and a pair beyond the radius is dropped with all
    below it. A pair of nodes whose leaves are all in one component already has nothing to add and is dropped too.
@@ -41,7 +41,7 @@ WHITE = re.compile(rb"[\x20\x09-\x0D]")
 SPLIT = 1 << 16
 #: Pairs of nodes that are held at once.
 FRONTIER = 1 << 20
-#: Of the pairs that differ in 1 bit of 8, those that meet in a table of sampled bits.
+#: Of the pairs that differ in as many bits as the radius, those that meet in a table of sampled bits.
 RECALL = 0.98
 
 # ------------------------------------------------------------------------------------------------------- fingerprints
@@ -219,11 +219,11 @@ def _bucket_of(band: list[tuple[int, int]]):
     return bits
 
 
-def tables(n: int, width: int, recall: float, seed: int = 11) -> np.ndarray:
+def tables(n: int, width: int, recall: float, radius: int, seed: int = 11) -> np.ndarray:
     """(tables, bits): the sampled bits of each table. Their number grows with the logarithm of n, so that buckets of
     unlike fingerprints stay small; that of the tables grows with it, so that the recall stays the same."""
     bits = min(32, max(14, math.ceil(math.log2(max(n, 1) / 4))))
-    many = math.ceil(math.log(1 - recall) / math.log(1 - 0.875**bits))
+    many = math.ceil(math.log(1 - recall) / math.log(1 - (1 - radius / (BITS * width)) ** bits))
     rng = np.random.default_rng(seed)
     return np.stack([rng.permutation(BITS * width)[:bits] for _ in range(many)])
 
@@ -294,7 +294,7 @@ def links(prints: DataFrame, *, radius: int = 4, width: int = 1, n: int | None =
         rows = prints.select("fp", F.explode(F.array(*parts)).alias("x")).select("fp", "x.band", "x.bucket")
     else:
         schema = ", ".join([*(f"{x} long" for x in names), "band int, bucket long"])
-        rows = prints.select(*names).mapInArrow(_sampled(tables(n, width, RECALL), names), schema)
+        rows = prints.select(*names).mapInArrow(_sampled(tables(n, width, RECALL, radius), names), schema)
     hot = rows.groupBy("band", "bucket").count().filter(F.col("count") > SPLIT)
     hot = hot.select("band", "bucket", F.ceil(F.col("count") / SPLIT).cast("int").alias("chunks"))
     rows = rows.join(hot, ["band", "bucket"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
