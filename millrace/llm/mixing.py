@@ -1,9 +1,10 @@
 """Mixes sources to target weights: iterative proportional fitting, then sampling by calibrated probabilities.
 
-1. Words are counted for each cell (source, language, topic). Of each dimension the MOST values with the most words keep
-   their names, the others are "other", so that the table of cells is bounded.
+1. Words are counted for each cell (source, language, topic). Every value is one of its own (where MOST has a number, the
+   values with the most words and those that a target names are, and the others are "other").
 2. The cells' words are raked: scaled to the target shares of the sources, then of the languages, then of the topics,
-   SWEEPS times over. A cell's weight is its raked words by its words.
+   SWEEPS times over. A cell's weight is its raked words by its words. Up to DRIVER_CELLS cells are raked on the driver;
+   more stay a table, and each step joins it with the dimensions' factors and sums it up along one of them.
 3. A document is sampled with probability rate * weight, by a hash of its id. The rate is the largest with which no
    probability exceeds 1, unless one is given (probabilities are then cut at 1): expected words have the target shares.
 
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 
-MOST, TEMPER, SWEEPS = {"source": 256, "lang": 64, "topic": 16}, 0.7, 25
+MOST, TEMPER, SWEEPS = {"source": None, "lang": None, "topic": None}, 0.7, 25
+#: Cells that the driver rakes at most.
+DRIVER_CELLS = 50_000
 #: Cells of which the table is broadcast at most; more are joined by a shuffle.
 BROADCAST_CELLS = 50_000
 # The strings that tell topics; the first that applies.
@@ -68,6 +71,29 @@ def tempered(cells: dict[tuple, float], k: int, power: float) -> dict:
     return {v: x / sum(raised.values()) for v, x in raised.items()}
 
 
+def rake_table(cells: DataFrame, targets: dict[str, DataFrame], folder: str, sweeps: int = SWEEPS) -> DataFrame:
+    """rake() of a table of cells with words: the cells with x. targets: (value, share) of each dimension."""
+    total = cells.agg(F.sum("words")).first()[0] or 0
+    factors = {dim: None for dim in targets}
+
+    def scaled() -> DataFrame:
+        out = cells.withColumn("x", F.col("words").cast("double"))
+        for dim, factor in factors.items():
+            if factor is not None:
+                out = out.join(factor.withColumnRenamed("value", dim), dim).withColumn("x", F.col("x") * F.col("factor")).drop("factor")
+        return out
+
+    for sweep in range(sweeps):
+        for dim, target in targets.items():
+            have = scaled().groupBy(F.col(dim).alias("value")).agg(F.sum("x").alias("have"))
+            step = F.when(F.col("have") > 0, F.coalesce("share", F.lit(0.0)) * float(total) / F.col("have")).otherwise(1.0)
+            new = have.join(target, "value", "left").select("value", step.alias("step"))
+            old = factors[dim]
+            new = new.withColumn("factor", F.col("step")) if old is None else new.join(old, "value").withColumn("factor", F.col("step") * F.col("factor"))
+            factors[dim] = common.stage(new.select("value", "factor"), f"{folder}/factors-{dim}-{sweep}")
+    return scaled()
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, rate: float | None = None, salt: str = "mix") -> DataFrame:
     """docs with topic, n_words, weight, probability and sampled. targets: shares by "source", "lang" or "topic"."""
     spark = docs.sparkSession
@@ -83,21 +109,40 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     cells = common.stage(cells, f"{folder}/cells")  # as many rows as there are distinct triples
     kept = {}
     for dim, most in MOST.items():
+        if most is None:
+            kept[dim] = None
+            continue
         top = cells.groupBy(dim).agg(F.sum("words").alias("words")).orderBy(F.desc("words"), dim).limit(most + 1).collect()
-        kept[dim] = None if len(top) <= most else [r[dim] for r in top[:most]]
+        kept[dim] = None if len(top) <= most else sorted({r[dim] for r in top[:most]} | set((targets or {}).get(dim) or ()))
     named = lambda dim: F.col(dim) if kept[dim] is None else F.when(F.col(dim).isin(kept[dim]), F.col(dim)).otherwise("other")
     dims = [named(dim).alias(dim) for dim in MOST]
-    found = {(r.source, r.lang, r.topic): float(r.words) for r in cells.select(*dims, "words").groupBy(*MOST).agg(F.sum("words").alias("words")).collect()}
-    goals = []
-    for k, dim in enumerate(MOST):
-        own = (targets or {}).get(dim)
-        goals.append({v: x / sum(own.values()) for v, x in own.items()} if own else tempered(found, k, temper))
-    raked = rake(dict(found), goals)
-    weights = {cell: raked[cell] / x if x else 1.0 for cell, x in found.items()}
-    scale = 1 / max(weights.values(), default=1.0) if rate is None else rate
-    table = [(*cell, w, min(1.0, scale * w)) for cell, w in sorted(weights.items())]
-    table = spark.createDataFrame(table, "source string, lang string, topic string, weight double, probability double")
-    if len(weights) <= BROADCAST_CELLS:
+    cells = common.stage(cells.select(*dims, "words").groupBy(*MOST).agg(F.sum("words").alias("words")), f"{folder}/named")
+    n_cells, own_targets = cells.count(), targets or {}
+    if n_cells <= DRIVER_CELLS:
+        found = {(r.source, r.lang, r.topic): float(r.words) for r in cells.collect()}
+        goals = []
+        for k, dim in enumerate(MOST):
+            own = own_targets.get(dim)
+            goals.append({v: x / sum(own.values()) for v, x in own.items()} if own else tempered(found, k, temper))
+        raked = rake(dict(found), goals)
+        weights = sorted((*cell, raked[cell] / x if x else 1.0) for cell, x in found.items())
+        scale = 1 / max((w for *_, w in weights), default=1.0) if rate is None else rate
+        table = spark.createDataFrame(weights, "source string, lang string, topic string, weight double")
+    else:
+        goals = {}
+        for dim in MOST:
+            own = own_targets.get(dim)
+            if own:
+                goals[dim] = spark.createDataFrame([(v, x / sum(own.values())) for v, x in own.items()], "value string, share double")
+                continue
+            raised = cells.groupBy(F.col(dim).alias("value")).agg(F.sum("words").alias("words")).filter("words > 0").select("value", F.pow("words", F.lit(temper)).alias("share"))
+            raised = common.stage(raised, f"{folder}/raised-{dim}")
+            goals[dim] = raised.select("value", (F.col("share") / (raised.agg(F.sum("share")).first()[0] or 1.0)).alias("share"))
+        table = rake_table(cells, goals, folder).select(*MOST, F.when(F.col("words") > 0, F.col("x") / F.col("words")).otherwise(1.0).alias("weight"))
+        table = common.stage(table, f"{folder}/weights")
+        scale = 1 / table.agg(F.max("weight")).first()[0] if rate is None else rate
+    table = table.withColumn("probability", F.least(F.lit(1.0), F.lit(float(scale)) * F.col("weight")))
+    if n_cells <= BROADCAST_CELLS:
         table = F.broadcast(table)
     joined = rows.select("row", "id", *dims, "n_words", F.col("topic").alias("own_topic")).join(table, list(MOST))
     sampled = (uniform(F.col("id"), salt) < F.col("probability")).alias("sampled")
