@@ -18,6 +18,8 @@ LEAST_SCORE = 0.3
 SIMILARITY = 0.8
 #: Shares go to this power: nearer to 1, fewer documents of frequent kinds are left out.
 TEMPER = 0.9
+#: Of the words, what the mixture is expected to keep.
+SHARE = mixing.SHARE
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +52,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: samples documents so that sources, languages and topics come to their tempered shares."""
+    """Operator 5: samples documents so that sources, languages and topics come to their tempered shares, as far
+    as SHARE of all words leaves room: kinds too rare for theirs are kept whole."""
     common.ship(spark)
-    return mixing.mix(docs.select(*COLUMNS), temper=TEMPER).filter("sampled").select(*COLUMNS)
+    return mixing.mix(docs.select(*COLUMNS), temper=TEMPER, share=SHARE).filter("sampled").select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

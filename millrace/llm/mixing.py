@@ -5,8 +5,12 @@
 2. The cells' words are raked: scaled to the target shares of the sources, then of the languages, then of the topics,
    SWEEPS times over. A cell's weight is its raked words by its words. Up to DRIVER_CELLS cells are raked on the driver;
    more stay a table, and each step joins it with the dimensions' factors and sums it up along one of them.
-3. A document is sampled with probability rate * weight, by a hash of its id. The rate is the largest with which no
-   probability exceeds 1, unless one is given (probabilities are then cut at 1): expected words have the target shares.
+3. A document is sampled with its cell's probability, by a hash of its id. The expected words are share of all words of
+   the cells with a weight, whatever the rarest cell is: each dimension's values get their target's part of them, but at
+   most their own words (what is left goes to the others in proportion), and the cells' weights are raked to these with
+   probabilities cut at 1. With share None the probability is rate * weight with the largest rate that makes none exceed
+   1, so the expected words have the target shares, but one small cell of a large weight can leave few of them; with a
+   given rate it is rate * weight cut at 1.
 
 Targets are shares by value (values without one keep none), or, by default, the observed shares to the power TEMPER,
 which lifts rare values. Shares are scaled to the sum of 1. Topics are told from fixed strings in the text.
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from millrace.llm import common
 
 MOST, TEMPER, SWEEPS = {"source": None, "lang": None, "topic": None}, 0.7, 25
+#: Of the words, what is expected to be kept.
+SHARE = 0.8
 #: Cells that the driver rakes at most.
 DRIVER_CELLS = 50_000
 #: Cells of which the table is broadcast at most; more are joined by a shuffle.
@@ -63,6 +69,50 @@ def rake(cells: dict[tuple, float], targets: list[dict], sweeps: int = SWEEPS) -
     return cells
 
 
+def filled(have: dict, target: dict, total: float) -> dict:
+    """Words of each value: in proportion to the target's shares, at most what it has, total in all if that can be."""
+    rate = total
+    full: set = set()
+    while True:
+        new = {v for v, x in have.items() if rate * target.get(v, 0.0) >= x}
+        left = sum(target.get(v, 0.0) for v in have if v not in new)
+        if new <= full or left <= 0:
+            return {v: min(x, rate * target.get(v, 0.0)) for v, x in have.items()}
+        full, rate = new, (total - sum(have[v] for v in new)) / left
+
+
+def capped(cells: dict[tuple, tuple[float, float]], targets: list[dict], share: float, sweeps: int = SWEEPS) -> dict[tuple, float]:
+    """Probabilities of cells of (words, raked words) with which share of the words is kept."""
+    cells = {cell: x for cell, x in cells.items() if x[0] > 0 and x[1] > 0}
+    total = share * sum(words for words, _ in cells.values())
+    goals = []
+    for k, target in enumerate(targets):
+        have: dict = {}
+        for cell, (words, _) in cells.items():
+            have[cell[k]] = have.get(cell[k], 0.0) + words
+        goals.append(filled(have, target, total))
+    scale = total / (sum(x for _, x in cells.values()) or 1.0)
+    now = {cell: scale * x for cell, (_, x) in cells.items()}
+    for _ in range(sweeps):
+        for k, goal in enumerate(goals):
+            full, free = dict.fromkeys(goal, 0.0), dict.fromkeys(goal, 0.0)
+            for cell, x in now.items():
+                if x >= cells[cell][0]:
+                    full[cell[k]] += cells[cell][0]
+                else:
+                    free[cell[k]] += x
+            step = {v: _step(goal[v], full[v], free[v]) for v in goal}
+            now = {cell: x * step[cell[k]] for cell, x in now.items()}
+    return {cell: min(1.0, x / cells[cell][0]) for cell, x in now.items()}
+
+
+def _step(goal: float, full: float, free: float) -> float:
+    """The factor of a value's words, of which some are at their most."""
+    if goal <= full:
+        return goal / (full + free) if full + free else 1.0
+    return (goal - full) / free if free else 1.0
+
+
 def tempered(cells: dict[tuple, float], k: int, power: float) -> dict:
     have: dict = {}
     for cell, x in cells.items():
@@ -94,7 +144,44 @@ def rake_table(cells: DataFrame, targets: dict[str, DataFrame], folder: str, swe
     return scaled()
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, rate: float | None = None, salt: str = "mix") -> DataFrame:
+def capped_table(cells: DataFrame, targets: dict[str, DataFrame], share: float, folder: str, sweeps: int = SWEEPS) -> DataFrame:
+    """capped() of a table of cells with words and weight: the cells with probability."""
+    live = common.stage(cells.filter("words > 0 AND weight > 0").withColumn("words", F.col("words").cast("double")), f"{folder}/live")
+    words, raked = live.agg(F.sum("words"), F.sum(F.col("words") * F.col("weight"))).first()
+    total, factors, goals = share * (words or 0.0), {}, {}
+    for dim, target in targets.items():
+        have = live.groupBy(F.col(dim).alias("value")).agg(F.sum("words").alias("have")).join(target, "value", "left")
+        have = common.stage(have.select("value", "have", F.coalesce("share", F.lit(0.0)).alias("share")), f"{folder}/have-{dim}")
+        rate, n_full = total, 0
+        while True:
+            is_full = F.lit(float(rate)) * F.col("share") >= F.col("have")
+            n, full, left = have.agg(F.count_if(is_full), F.sum(F.when(is_full, F.col("have"))), F.sum(F.when(~is_full, F.col("share")))).first()
+            if n <= n_full or not left:
+                break
+            n_full, rate = n, (total - full) / left
+        goals[dim] = have.select("value", F.least("have", F.lit(float(rate)) * F.col("share")).alias("goal"))
+
+    def scaled() -> DataFrame:
+        out = live.withColumn("x", F.col("words") * F.col("weight") * F.lit(float(total / (raked or 1.0))))
+        for dim, factor in factors.items():
+            out = out.join(factor.withColumnRenamed("value", dim), dim).withColumn("x", F.col("x") * F.col("factor")).drop("factor")
+        return out
+
+    for sweep in range(sweeps):
+        for dim, goal in goals.items():
+            at_most = F.col("x") >= F.col("words")
+            sums = scaled().groupBy(F.col(dim).alias("value")).agg(F.sum(F.when(at_most, F.col("words")).otherwise(0.0)).alias("full"), F.sum(F.when(at_most, 0.0).otherwise(F.col("x"))).alias("free"))
+            all_ = F.col("full") + F.col("free")
+            step = F.when(F.col("goal") <= F.col("full"), F.when(all_ > 0, F.col("goal") / all_).otherwise(1.0)).when(F.col("free") > 0, (F.col("goal") - F.col("full")) / F.col("free")).otherwise(1.0)
+            new = sums.join(goal, "value").select("value", step.alias("step"))
+            old = factors.get(dim)
+            new = new.withColumn("factor", F.col("step")) if old is None else new.join(old, "value").withColumn("factor", F.col("step") * F.col("factor"))
+            factors[dim] = common.stage(new.select("value", "factor"), f"{folder}/capped-{dim}-{sweep}")
+    found = scaled().select(*targets, F.least(F.lit(1.0), F.col("x") / F.col("words")).alias("probability"))
+    return cells.join(found, list(targets), "left").withColumn("probability", F.coalesce("probability", F.when(F.col("words") > 0, 0.0).otherwise(1.0)))
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, rate: float | None = None, share: float | None = SHARE, salt: str = "mix") -> DataFrame:
     """docs with topic, n_words, weight, probability and sampled. targets: shares by "source", "lang" or "topic"."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -126,8 +213,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
             goals.append({v: x / sum(own.values()) for v, x in own.items()} if own else tempered(found, k, temper))
         raked = rake(dict(found), goals)
         weights = sorted((*cell, raked[cell] / x if x else 1.0) for cell, x in found.items())
-        scale = 1 / max((w for *_, w in weights), default=1.0) if rate is None else rate
-        table = spark.createDataFrame(weights, "source string, lang string, topic string, weight double")
+        if rate is None and share is not None:
+            kept_of = capped({cell: (x, raked[cell]) for cell, x in found.items()}, goals, share)
+            weights = [(*cell, w, kept_of.get(cell, 0.0 if found[cell] else 1.0)) for *cell, w in weights for cell in [tuple(cell)]]
+        else:
+            scale = 1 / max((w for *_, w in weights), default=1.0) if rate is None else rate
+            weights = [(*cell, w, min(1.0, scale * w)) for *cell, w in weights]
+        table = spark.createDataFrame(weights, "source string, lang string, topic string, weight double, probability double")
     else:
         goals = {}
         for dim in MOST:
@@ -138,10 +230,14 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
             raised = cells.groupBy(F.col(dim).alias("value")).agg(F.sum("words").alias("words")).filter("words > 0").select("value", F.pow("words", F.lit(temper)).alias("share"))
             raised = common.stage(raised, f"{folder}/raised-{dim}")
             goals[dim] = raised.select("value", (F.col("share") / (raised.agg(F.sum("share")).first()[0] or 1.0)).alias("share"))
-        table = rake_table(cells, goals, folder).select(*MOST, F.when(F.col("words") > 0, F.col("x") / F.col("words")).otherwise(1.0).alias("weight"))
+        table = rake_table(cells, goals, folder).select(*MOST, "words", F.when(F.col("words") > 0, F.col("x") / F.col("words")).otherwise(1.0).alias("weight"))
         table = common.stage(table, f"{folder}/weights")
-        scale = 1 / table.agg(F.max("weight")).first()[0] if rate is None else rate
-    table = table.withColumn("probability", F.least(F.lit(1.0), F.lit(float(scale)) * F.col("weight")))
+        if rate is None and share is not None:
+            table = common.stage(capped_table(table, goals, share, folder), f"{folder}/probabilities")
+        else:
+            scale = 1 / table.agg(F.max("weight")).first()[0] if rate is None else rate
+            table = table.withColumn("probability", F.least(F.lit(1.0), F.lit(float(scale)) * F.col("weight")))
+        table = table.drop("words")
     if n_cells <= BROADCAST_CELLS:
         table = F.broadcast(table)
     joined = rows.select("row", "id", *dims, "n_words", F.col("topic").alias("own_topic")).join(table, list(MOST))
@@ -151,7 +247,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    out = mix(docs)
+    out = mix(docs, share=None)
     return out.select("doc_id", "source", "lang", "topic", "n_words", F.round("weight", 8).alias("weight"), F.round("probability", 8).alias("probability"), "sampled")
 
 
