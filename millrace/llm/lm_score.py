@@ -2,10 +2,12 @@
 
 Tokens are the words between ASCII white space, A-Z in lower case, then one end token. Each token's base probability
 is (c + 1) / (N + V + 1), from exact counts over the training rows. A pair (history, word) that training rows hold c
-times, c at least 2, is in the filter once for each level 1..floor(log2 c): the levels that answer, probed from 1 until
-one does not, give c to a power of two from below. Then
+times is in the filter once for each level 1..floor(log2 c) + 1: the levels that answer, probed from 1 until one does
+not, give c to a power of two from below. Then
 
-    P(word | history) = b * 2^level / c(history) + (1 - b) * base(word),   b = c(history) / (c(history) + BACKOFF)
+    P(word | history) = b * 2^(level - 1) / c(history) + (1 - b) * base(word),   b = c(history) / (c(history) + BACKOFF)
+
+With singles=False, pairs that are held once are left out: the levels are 1..floor(log2 c), for 2^level.
 
 1. Tasks turn texts into chunk files in the shared folder: the hashes of the chunk's words, sorted, and the texts as
    numbers of those words. Chunks are bounded. What is shuffled are packed arrays, one for each chunk and slice of the
@@ -99,9 +101,9 @@ def _places(keys: np.ndarray, level: int, k: int, bits: np.ndarray | int) -> np.
     return mixed(keys + np.uint64((level * HASHES + k + 1) * 0x2545F4914F6CDD1D & (1 << 64) - 1)) % np.asarray(bits, dtype=np.uint64)
 
 
-def build_filter(keys: np.ndarray, counts: np.ndarray, bits_per_entry: int) -> np.ndarray:
+def build_filter(keys: np.ndarray, counts: np.ndarray, bits_per_entry: int, singles: bool = False) -> np.ndarray:
     """Bytes of the filter of one slice."""
-    levels = np.where(counts >= 2, np.frexp(counts.astype(np.float64))[1] - 1, 0)
+    levels = np.frexp(counts.astype(np.float64))[1] - (0 if singles else 1)
     n_bits = filter_bits(int(levels.sum()), bits_per_entry)
     bits = np.zeros(n_bits // 8, dtype=np.uint8)
     for level in range(1, int(levels.max(initial=0)) + 1):
@@ -219,7 +221,7 @@ def _tokenize(folder: str, slices: int):
     return run
 
 
-def _sum_up(bits_per_entry: int):
+def _sum_up(bits_per_entry: int, singles: bool):
     """Of each slice, sorted by (slice, pairs): replies to the chunks and totals, or its filter."""
     begin = np.uint64(BEGIN)
 
@@ -241,7 +243,7 @@ def _sum_up(bits_per_entry: int):
         order = np.argsort(keys)
         keys, counts = keys[order], np.concatenate([p[1] for p in parts])[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        bits = build_filter(keys[first], np.add.reduceat(counts.astype(np.uint64), first), bits_per_entry)
+        bits = build_filter(keys[first], np.add.reduceat(counts.astype(np.uint64), first), bits_per_entry, singles)
         yield ("filter", k, None, bits.tobytes(), len(bits), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +276,7 @@ def _filter_groups(sizes: dict[int, int]) -> list[list[int]]:
     return groups
 
 
-def _score(n: int, v: int, slices: int, groups: list[list[int]], one, filters: str, id_col: str):
+def _score(n: int, v: int, slices: int, groups: list[list[int]], one, filters: str, id_col: str, singles: bool):
     import pyarrow.parquet as pq
 
     def load(group: list[int]) -> Filters:
@@ -302,7 +304,7 @@ def _score(n: int, v: int, slices: int, groups: list[list[int]], one, filters: s
             levels |= load(group).levels(keys)
         before, own = c[at - 1], base[tokens[at]]
         weight = before / (before + BACKOFF)
-        seen = np.where(levels > 0, np.minimum(np.ldexp(1.0, levels.astype(np.int32)), before), 0.0)
+        seen = np.where(levels > 0, np.minimum(np.ldexp(1.0, levels.astype(np.int32) - (1 if singles else 0)), before), 0.0)
         p = (1 - weight) * own + weight * np.divide(seen, before, out=np.zeros(len(at)), where=before > 0)
         starts = stops - sizes - np.arange(len(sizes))  # in the tokens without begin marks
         total = lambda x: np.add.reduceat(x, starts)
@@ -332,7 +334,7 @@ def _score(n: int, v: int, slices: int, groups: list[list[int]], one, filters: s
     return run
 
 
-def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", bits_per_entry: int = BITS_PER_ENTRY, singles: bool = False) -> DataFrame:
     """Every row's scores by a model of the rows where held_out is not true: id_col, held_out, n_tokens, n_known,
     train_tokens, base_score and score (log10)."""
     spark = docs.sparkSession
@@ -341,7 +343,7 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
     # written before it is shuffled: a task that is run again makes chunks of other names, which must not mix with these
     parts = common.stage(rows.mapInArrow(_tokenize(folder, slices), PARTS), f"{folder}/parts")
     parts = parts.repartition(slices, "slice", "pairs").sortWithinPartitions("slice", "pairs")
-    sums = common.stage(parts.mapInArrow(_sum_up(bits_per_entry), SUMS), f"{folder}/sums")
+    sums = common.stage(parts.mapInArrow(_sum_up(bits_per_entry, singles), SUMS), f"{folder}/sums")
     filters = f"{folder}/filters"
     written = common.stage(sums.filter("kind = 'filter'").select("slice", "data", "n"), filters)
     totals = sums.filter("kind = 'totals'").agg(F.sum("n"), F.sum("v")).first()
@@ -351,9 +353,9 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
     replies = sums.filter("kind = 'reply'").select("chunk", "slice", "data")
     replies = replies.repartition(max(1, common.shuffle_partitions(spark)), "chunk").sortWithinPartitions("chunk", "slice").select("chunk", "data")
     out = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return replies.mapInArrow(_score(totals[0] or 0, totals[1] or 0, slices, groups, one, filters, id_col), out)
+    return replies.mapInArrow(_score(totals[0] or 0, totals[1] or 0, slices, groups, one, filters, id_col, singles), out)
 
 
 def op7_lm_score(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+    return score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2, singles=True)
