@@ -7,14 +7,14 @@ each pair of neighbours. Forward-backward gives each word's distribution over th
 between languages is labelled in stretches. A document's language is the one with the largest mean over its words with
 letters; the mean is the score.
 
-Training is on the driver, by full-batch gradient steps on the likelihood. Its sample is bounded: the LANGUAGES most
-frequent languages, and PER_LANGUAGE documents of each, chosen by a hash of their id at the rate that their count over
-the whole table gives. Words are given their document's language, in sequences of WINDOW words; half of them swap their
+Training is on the driver, by full-batch gradient steps on the likelihood. Its sample is PER_LANGUAGE documents of every
+language, chosen by a hash of their id at the rate that their count over the whole table gives; memory grows with the
+number of languages. Words are given their document's language, in sequences of WINDOW words; half of them swap their
 tails with another's, so that transitions are learned from switches. The model, at most 2^FEATURE_BITS weights for each
 language, is broadcast.
 
-Prediction runs over all words of a text in windows of WINDOW. Of words over 16 characters, the n-grams are of the first
-and last 8.
+Prediction runs over all words of a text in windows of WINDOW. Longer words than 16 characters, as lines are in scripts
+without spaces, are cut into consecutive words of at most 16, in training too, so all of a text is read.
 
 Defined cases: text that is null or has no letter is "und" with score 0, as is everything if nothing could be learned;
 rows are independent, so ties, repeated rows and null ids need no care; an empty table gives no rows.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 
-PER_LANGUAGE, LANGUAGES, WINDOW, FEATURE_BITS, STEPS = 150, 64, 64, 17, 30
+PER_LANGUAGE, WINDOW, FEATURE_BITS, STEPS = 150, 64, 17, 30
 WIDE = 16
 NO_LETTERS = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 LETTER = re.compile(r"[^\W\d_]")
@@ -48,6 +48,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) >> np.uint64(64 - FEATURE_BITS)
 
 
+def words_of(text: str) -> list[str]:
+    """The words between white space, those of over WIDE characters in pieces of at most WIDE in lower case."""
+    out = []
+    for word in text.split():
+        if len(word.lower()) <= WIDE:
+            out.append(word)
+        else:
+            size = WIDE if len(word.lower()) == len(word) else WIDE // 2  # one letter's lower case has two characters
+            out += [word[k : k + size] for k in range(0, len(word), size)]
+    return out
+
+
 def features(words: list[str]) -> np.ndarray:
     """(words, features) numbers of weights; 0 where a word is too short for a feature, or has no letter."""
     core = [NO_LETTERS.sub("", w) for w in words]
@@ -131,7 +143,7 @@ def fit(samples: list[tuple[str, str]], seed: int = 1, rate: float = 0.2, decay:
     labels = sorted({lang for _, lang in samples})
     numbers, rows, tags = defaultdict(count().__next__), [], []
     for text, lang in samples:
-        own = [numbers[w] for w in text.lower().split() if LETTER.search(w)]
+        own = [numbers[w] for w in map(str.lower, words_of(text)) if LETTER.search(w)]
         for k in range(0, len(own), WINDOW):
             rows.append(own[k : k + WINDOW])
             tags.append(labels.index(lang))
@@ -200,7 +212,7 @@ class Labeller:
         if self.known > self.CACHED:
             self._forget()
         number = self.numbers.__getitem__
-        ids = [np.array(list(map(number, text.lower().split())), dtype=np.int64) for text in texts]
+        ids = [np.array([number(w.lower()) for w in words_of(text)], dtype=np.int64) for text in texts]
         if len(self.numbers) > self.known:
             new = list(self.numbers)[self.known :]
             scores, letters = self.model.emissions(new)
@@ -245,12 +257,12 @@ def train(docs: DataFrame, eligible: Column, *, id_col: str = "doc_id", text_col
     """A model of a bounded sample of the eligible rows that have a language and a text."""
     rows = docs.filter(eligible & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return fit([])
     draw = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 40))
-    below = [F.when(F.col("lang") == r.lang, F.lit(min(1 << 40, (per_language << 40) // r["count"]))) for r in counts]
-    sample = rows.filter(draw < F.coalesce(*below)).limit(2 * per_language * len(counts))
+    below = docs.sparkSession.createDataFrame([(r.lang, min(1 << 40, (per_language << 40) // r["count"])) for r in counts], "lang string, below long")
+    sample = rows.join(F.broadcast(below), "lang").filter(draw < F.col("below")).select("id", "text", "lang").limit(2 * per_language * len(counts))
     return fit([(r.text, r.lang) for r in sorted(sample.collect(), key=lambda r: (str(r.id), r.text, r.lang))])
 
 
@@ -297,7 +309,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
 
 
 def label_words(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, words): for each text the array of (word, lang, score) of its words, with their own languages."""
+    """(id_col, words): for each text the array of (word, lang, score) of its words, with their own languages (pieces of long words are words)."""
     sent = _Sent(docs.sparkSession, model)
     kind = pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string()), ("score", pa.float64())]))
 
@@ -307,7 +319,7 @@ def label_words(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_c
             out = [[] for _ in texts]
             if model.labels:
                 text, p, letters = _labeller(sent).words(texts)
-                words = [w for t in texts for w in t.split()]
+                words = [w for t in texts for w in words_of(t)]
                 for t, w, row, has in zip(text, words, p, letters, strict=True):
                     best = int(row.argmax())
                     out[t].append({"word": w, "lang": model.labels[best] if has else "und", "score": float(row[best]) if has else 0.0})
