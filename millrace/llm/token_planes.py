@@ -207,6 +207,18 @@ class _Table:
         self.first, self.count = np.insert(self.first, at, first), np.insert(self.count, at, count)
 
 
+def lowered(text: bytes) -> bytes:
+    """A-Z in lower case, but not in words that hold a byte of 0x80 or more."""
+    if text.isascii():
+        return text.lower()
+    raw = np.frombuffer(text, dtype=np.uint8)
+    word = np.cumsum((raw == 0x20) | (raw - np.uint8(9) < 5), dtype=np.int32)
+    other = np.zeros(int(word[-1]) + 1, dtype=bool)
+    other[word[raw >= 0x80]] = True
+    upper = (raw - np.uint8(0x41) < 26) & ~other[word]
+    return np.where(upper, raw | np.uint8(0x20), raw).tobytes()
+
+
 class _Collision(Exception):
     """Two words have one hash."""
 
@@ -216,7 +228,8 @@ class WordCacheEncoder:
 
     Where the file's normaliser and pre-tokenizer are the known word-BPE pair (NFC, white-space runs to one space, lower
     case, then a split whose matches never hold white space, and BPE within a match), no token reaches over ASCII white
-    space, so the ids of a text are those of its pieces between it, in order; A-Z may be lowered before. A run of Latin
+    space, so the ids of a text are those of its pieces between it, in order; A-Z of words that are all ASCII may be lowered
+    before (of others not: NFC comes first, and has composed forms that only the small letter has). A run of Latin
     letters is one match, whose last token alone ends in the end-of-word mark, so many of them go to the library at
     once, and a full stop or comma after it is a match of its own. Words are cut, looked up and put together for many
     texts at a time, in arrays. With any other file, and for texts that hold an added token's string, the library gets
@@ -227,7 +240,7 @@ class WordCacheEncoder:
     RECENT = 100_000
     AT_ONCE = 3 << 20
     SPACE = re.compile(r"[\x20\x09-\x0D]")
-    LETTERS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]?)")
+    LETTERS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]?)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -308,7 +321,7 @@ class WordCacheEncoder:
         self.used += len(flat)
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
-        """ids of lowered texts, which are held together."""
+        """ids of texts after lowered(), which are held together."""
         buffer = b"\n".join([*texts, b""])
         words = _Words(buffer)
         hashes, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
@@ -362,15 +375,16 @@ class WordCacheEncoder:
         return out
 
     def _batch(self, texts: list[str]) -> list[bytes]:
-        lowered = [text.encode().lower() for text in texts]
-        special = {k for k, text in enumerate(lowered) if any(token in text for token in self.added_bytes)}
+        raw = [text.encode() for text in texts]
+        special = {k for k, text in enumerate(raw) if any(token in text.lower() for token in self.added_bytes)}
+        lowered_ = [lowered(text) for text in raw]
         out: list[bytes] = []
         start = size = 0
-        for k, text in enumerate(lowered):
+        for k, text in enumerate(lowered_):
             size += len(text)
             if size >= self.AT_ONCE or k + 1 == len(texts):
                 try:
-                    out += self._encode([b"" if j in special else lowered[j] for j in range(start, k + 1)])
+                    out += self._encode([b"" if j in special else lowered_[j] for j in range(start, k + 1)])
                 except _Collision:
                     out += self.whole(texts[start : k + 1])
                 start, size = k + 1, 0
