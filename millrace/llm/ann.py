@@ -156,12 +156,13 @@ def nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors
     by_same = np.argsort(same, kind="stable")
     starts = np.flatnonzero(np.concatenate([[True], np.diff(same[by_same]) > 0]))
     rank = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids))))
-    # equal vectors tie: of those with other ids than the query's, the k smallest are enough
-    id_rank = np.empty(len(ids), dtype=np.int64)
-    new_id = np.concatenate([[True], (np.diff(ids[by_same]) != 0) | (np.diff(same[by_same]) != 0)])
-    groups = np.cumsum(new_id)
-    id_rank = groups - np.repeat(groups[starts], np.diff(np.append(starts, len(ids))))
-    keep = np.sort(by_same[(rank <= k) | (id_rank <= 0)])
+    # equal vectors tie: of those with other ids than the query's, the k smallest are enough; rows before one are not
+    # counted if they may be the query's own, which are at most as many as one smaller id has
+    new_id = np.flatnonzero(np.concatenate([[True], (np.diff(ids[by_same]) != 0) | (np.diff(same[by_same]) != 0)]))
+    copies, group = np.diff(np.append(new_id, len(ids))), same[by_same][new_id].astype(np.int64) * (len(ids) + 1)
+    most = np.maximum.accumulate(copies + group)  # with the group's offset: an earlier group's do not reach over
+    before = np.maximum(np.concatenate([[0], most[:-1]]) - group, 0)
+    keep = np.sort(by_same[rank - np.repeat(before, copies) < k])
     ids, vectors = ids[keep], vectors[keep]
     norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
     out = []
