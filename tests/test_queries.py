@@ -40,15 +40,19 @@ def test_top_is_a_top_n_plan(spark, capsys):
     assert "TakeOrderedAndProject" in plan and "Python" not in plan and "ReadSchema: struct<text:string>" in plan
 
 
-def test_entry_without_the_optional_parts(tmp_path):
-    """A copy without the subpackage imports, and has these queries."""
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_optional_parts(tmp_path, pipeline):
+    """A copy without the subpackage, with corpus_pipeline.py or not, has all queries of the library and no others."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = f"""
-import shutil, sys
-shutil.copytree({root!r} + "/millrace", {str(tmp_path)!r} + "/millrace", ignore=shutil.ignore_patterns("llm"))
+import os, shutil, sys
+shutil.copytree({root!r} + "/millrace", {str(tmp_path)!r} + "/millrace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
 shutil.copy({root!r} + "/__spark_entry__.py", {str(tmp_path)!r})
+if {pipeline} and os.path.exists({root!r} + "/corpus_pipeline.py"):
+    shutil.copy({root!r} + "/corpus_pipeline.py", {str(tmp_path)!r})
 sys.path.insert(0, {str(tmp_path)!r})
 import __spark_entry__ as e
+assert e.__file__.startswith({str(tmp_path)!r})
 assert set(e.queries()) == set(e.oracle_sql()) and len(e.queries()) > 20 and not any(k.startswith("op1_") for k in e.queries())
 """
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": ""}, timeout=120).returncode == 0
