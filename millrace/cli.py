@@ -28,6 +28,8 @@ def parser() -> argparse.ArgumentParser:
     for name in ("run", "status", "cancel", "results"):
         own = commands.add_parser(name)
         own.add_argument("--job", required=True)
+        if name == "run":
+            own.add_argument("--stream", action="store_true", help="in micro-batches, with progress in the status")
         if name == "cancel":
             own.add_argument("--expected-revision", type=int, required=True)
         if name == "results":
@@ -35,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
             own.add_argument("--count-by", default="", help="print how often each value of this field occurs")
             own.add_argument("--top", type=int, default=0, help="with --count-by: only the most frequent (0: all)")
     commands.add_parser("jobs")
+    commands.add_parser("overview", help="all jobs, and how many are in each state")
     return top
 
 
@@ -88,10 +91,12 @@ def main(args: list[str] | None = None, out: TextIO = sys.stdout) -> int:
             show_results(catalogue, own.job, own.page_bytes, own.count_by, own.top, out)
         elif own.command == "cancel":
             print(json.dumps(catalogue.cancel(own.job, own.expected_revision)), file=out)
+        elif own.command == "run":
+            print(json.dumps(catalogue.run(own.job, own.stream)), file=out)
         else:
-            print(json.dumps(catalogue.jobs() if own.command == "jobs" else getattr(catalogue, own.command)(own.job)), file=out)
+            print(json.dumps(catalogue.status(own.job) if own.command == "status" else getattr(catalogue, own.command)()), file=out)
     except MillraceError as error:
-        print(json.dumps({"error": type(error).__name__, "message": str(error)}), file=sys.stderr)
+        print(json.dumps({"error": type(error).__name__, "message": str(error), "retryable": error.retryable}), file=sys.stderr)
         return 1
     return 0
 

@@ -6,6 +6,9 @@ from __future__ import annotations
 class MillraceError(Exception):
     """Base of all errors that this library raises itself."""
 
+    #: Whether the same request can succeed later.
+    retryable = False
+
 
 class InvalidTopology(MillraceError):
     """The document is no valid job graph; nothing was stored."""
@@ -38,6 +41,8 @@ class SkippedRequest(RequestError):
 class CapacityExhausted(RequestError):
     """Too many jobs are active or retained."""
 
+    retryable = True
+
 
 class NotFound(RequestError):
     """No such job."""
@@ -50,13 +55,15 @@ class InvalidTransition(RequestError):
 class ResultUnavailable(MillraceError):
     """The job has no complete manifest."""
 
+    retryable = True
+
 
 class ManifestMismatch(MillraceError):
     """The results are not those that the digest names."""
 
 
 class CorruptResult(MillraceError):
-    """One identity is in two sink partitions."""
+    """One identity is there twice, or the rows are not those that the manifest counts."""
 
 
 class PageTooSmall(MillraceError):

@@ -13,8 +13,8 @@ import threading
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
-from millrace import results
-from millrace.errors import CapacityExhausted, IdentityReuse, InvalidTransition, LimitExceeded, MillraceError, NotFound, RequestError, ResultUnavailable, SkippedRequest, StaleRequest
+from millrace import results, streaming
+from millrace.errors import CapacityExhausted, CorruptResult, IdentityReuse, InvalidTransition, LimitExceeded, MillraceError, NotFound, RequestError, ResultUnavailable, SkippedRequest, StaleRequest
 from millrace.functions import identity
 from millrace.limits import DEFAULT, Limits
 from millrace.plans import planner, spec
@@ -23,7 +23,15 @@ from millrace.store import Store
 
 TERMINAL = ("succeeded", "failed", "canceled")
 NEXT = {"pending": "deploying", "deploying": "running", "running": "draining", "draining": "succeeded"}
-OPERATOR_FAILURE = 1
+OPERATOR_FAILURE, STORAGE_FAILURE = 1, 3
+#: Spark's names of errors that a row made an operator raise.
+_OF_ROWS = ("ARITHMETIC_OVERFLOW", "USER_RAISED_EXCEPTION")
+
+
+def failure_code(error: BaseException) -> int:
+    """OPERATOR_FAILURE for what a row or the graph caused, STORAGE_FAILURE for all else."""
+    own = isinstance(error, MillraceError) and not isinstance(error, CorruptResult)
+    return OPERATOR_FAILURE if own or (isinstance(error, PySparkException) and any(x in str(error) for x in _OF_ROWS)) else STORAGE_FAILURE
 
 
 class Catalogue:
@@ -33,6 +41,7 @@ class Catalogue:
         self.spark, self.root, self.limits = spark, root.rstrip("/"), limits
         self.store = Store(spark, self.root)
         self._lock = threading.RLock()
+        self._verified: set[str] = set()
 
     # ------------------------------------------------------------------------------------------------------- records
 
@@ -122,24 +131,39 @@ class Catalogue:
             self._save(record)
             return record
 
-    def run(self, job: str) -> dict:
-        """Runs a pending job to its end. A row that an operator refuses makes it fail; nothing of it becomes visible."""
+    def _progressed(self, job: str, completed: int) -> None:
+        with self._lock:
+            record = self._load(job)
+            if record["state"] == "running":
+                self._save(record | {"completed_source_tasks": completed})
+
+    def run(self, job: str, stream: bool = False) -> dict:
+        """Runs a pending job to its end, as a batch or as a stream that shows its progress in the status. A row that an
+        operator refuses makes it fail; nothing of it becomes visible. Whatever else ends a run also makes it fail (with
+        the code of storage), and is raised."""
         graph = self._graph(self._advance(job, "deploying"))
         context = self.spark.sparkContext
         context.setJobGroup(job, graph.topology.name, True)
         try:
-            rows = planner.compile_graph(self.spark, graph, bytes.fromhex(job), limits=self.limits)
-            self._advance(job, "running")
-            twice = sum(e.source == graph.source.stage_id for e in graph.incoming[graph.sink.stage_id]) > 1
-            found = results.seal(rows, f"{self.root}/jobs/{job}/results", graph.sink.parallelism, limits=self.limits, check_identity=twice)
+            if stream:
+                self._advance(job, "running")
+                found = streaming.run_sealed(self.spark, graph, bytes.fromhex(job), f"{self.root}/jobs/{job}", limits=self.limits, told=lambda done: self._progressed(job, done))
+            else:
+                rows = planner.compile_graph(self.spark, graph, bytes.fromhex(job), limits=self.limits)
+                self._advance(job, "running")
+                found = results.seal(rows, f"{self.root}/jobs/{job}/results", graph.sink.parallelism, limits=self.limits)
             self._advance(job, "draining", completed_source_tasks=graph.source.parallelism)
             self._advance(job, "succeeded", manifest_count=graph.sink.parallelism, manifest_set_digest=found.digest)
         except InvalidTransition:  # it was canceled meanwhile
             self.store.delete(f"jobs/{job}/results")
-        except (PySparkException, MillraceError) as error:
-            self.store.delete(f"jobs/{job}/results")
+        except BaseException as error:
             if self._load(job)["state"] not in TERMINAL:
-                self._advance(job, "failed", failure_code=OPERATOR_FAILURE, failure=str(error)[:2000])
+                self._advance(job, "failed", failure_code=failure_code(error), failure=str(error)[:2000])
+                self.store.delete(f"jobs/{job}/results")
+                if failure_code(error) != OPERATOR_FAILURE:
+                    raise
+            elif not isinstance(error, (PySparkException, MillraceError)):  # a job that was canceled meanwhile ends so
+                raise
         finally:
             context._jsc.sc().clearJobGroup()
         return self.status(job)
@@ -158,11 +182,21 @@ class Catalogue:
     def jobs(self) -> dict:
         return {"command": "jobs", "jobs": [self._summary(r) for r in self._records()]}
 
+    def overview(self) -> dict:
+        """All jobs and how many are in each state, as one document."""
+        own = self.jobs()["jobs"]
+        return {"jobs": own, "states": {s: sum(j["state"] == s for j in own) for s in (*NEXT, *TERMINAL)}}
+
     def results(self, job: str, digest: str | None = None) -> results.ResultSet:
+        """The job's sealed results, which this catalogue has verified once."""
         record = self._load(job)
         if not record["manifest_set_digest"]:
             raise ResultUnavailable(f"job {job} has no complete results")
-        return results.open_results(self.spark, f"{self.root}/jobs/{job}/results", digest or record["manifest_set_digest"])
+        found = results.open_results(self.spark, f"{self.root}/jobs/{job}/results", digest or record["manifest_set_digest"])
+        if found.digest not in self._verified:
+            results.verify(found, self.limits)
+            self._verified.add(found.digest)
+        return found
 
     def sink_stage(self, job: str) -> int:
         return self._graph(self._load(job)).sink.stage_id

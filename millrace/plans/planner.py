@@ -85,10 +85,10 @@ def compile_graph(spark: SparkSession, graph: Validated, job: bytes, *, limits:
             branches.append(route(own, edge, stage.parallelism, job, tuple_id(), domains).drop("_ordinal"))
         rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches)
         if k == graph.sink.stage_id:
-            if twice:  # the same row on parallel edges is one record of its partition
-                rows = rows.dropDuplicates(list(LINEAGE))
             fields = sorted(c for c in rows.columns if c in FIELDS)
-            return rows.select(*fields, *LINEAGE)
+            rows = rows.select(*fields, *LINEAGE)
+            # the same row on parallel edges is one record of its partition; a stream's are made one when it is sealed
+            return rows.distinct() if twice and not rows.isStreaming else rows
         op = REGISTRY[stage.operator]
         out = TRANSFORMS[stage.operator](_checked(rows, op.reads, stage.operator), graph.settings[k])
         made[k] = out if "_ordinal" in out.columns else out.withColumn("_ordinal", F.lit(0))

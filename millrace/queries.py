@@ -7,13 +7,15 @@ import struct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace import operators, results
+from millrace import operators, results, streaming
 from millrace.functions import identity
+from millrace.jobs import Catalogue
 from millrace.limits import Limits
 from millrace.plans import planner, spec
 from millrace.plans.spec import Edge, Stage, Topology
 from millrace.plans.validate import validate
 from millrace.registry import fingerprint
+from millrace.session import work_dir
 from millrace.sources import range_rows, table_lines, table_values
 from millrace.streaming.progress import completed_prefix
 
@@ -209,6 +211,45 @@ def watermark_prefix(spark, sf_dir):
     return completed_prefix(rows.select(F.col("_src_partition").alias("part"), F.col("_src_seq").alias("seq")), eofs, block=16)
 
 
+def _sealed(spark, sf_dir) -> results.ResultSet:
+    rows = _over(spark, sf_dir, graph("sealed", SOURCE, ("collect", PARTS, {})), "orders", "o_orderkey")
+    return results.seal(rows, work_dir(spark, "sealed"), PARTS, limits=OPEN)
+
+
+def sealed_manifest(spark, sf_dir):
+    """What the manifest of a sealed set says of its sink partitions, once the rows have been held against it."""
+    found = results.verify(_sealed(spark, sf_dir), OPEN).manifest["partitions"]
+    return spark.createDataFrame([(p["partition"], p["records"], p["bytes"], p["checksum"]) for p in found], "part int, records long, bytes long, checksum string")
+
+
+def sealed_page(spark, sf_dir):
+    """The second page of a sealed set, after the first one's cursor."""
+    own = _sealed(spark, sf_dir)
+    found = results.page(own, results.page(own, limits=OPEN).cursor, limits=OPEN)
+    return spark.createDataFrame([(r.value, r["_src_partition"], r["_src_seq"]) for r in found.records], "value long, part int, seq long")
+
+
+def sealed_stream(spark, sf_dir):
+    """A stream over files of orders, in micro-batches, and its sealed records."""
+    g = graph("stream", SOURCE, ("multiply", 3, {"factor": 3}), ("even", 2, {}), ("less_than", 2, {"threshold": 30_000}), ("collect", 2, {}))
+    folder = work_dir(spark, "stream")
+    dealt(_values(spark, sf_dir, "orders", "o_orderkey")).repartition(6).write.parquet(f"{folder}/source")
+    rows = streaming.run_stream(spark, g, JOB, f"{folder}/source", f"{folder}/out", f"{folder}/checkpoint", files_per_batch=3, limits=OPEN)
+    found = results.seal(rows, f"{folder}/sealed", 2, limits=OPEN)
+    return found.rows.select("value", F.col("_src_partition").alias("part"), F.col("_src_seq").alias("seq"))
+
+
+def job_status(spark, sf_dir):
+    """A job from its document to its status: submitted, run as a stream, sealed; with the count and sum of its records."""
+    g = graph("whole", ("range", PARTS, {"start": -1000, "end_exclusive": 4000}), ("multiply", 3, {"factor": 3}), ("even", 2, {}), ("collect", 2, {}))
+    catalogue = Catalogue(spark, work_dir(spark, "jobs"))
+    job = catalogue.submit(spec.to_json(g.topology), JOB, 1)["job_id"]
+    status = catalogue.run(job, stream=True)
+    shown = ("state", "source_task_count", "completed_source_tasks", "result_partition_count", "manifest_count", "has_failure")
+    rows = catalogue.results(job, status["manifest_set_digest"]).rows
+    return rows.agg(*(F.lit(status[k]).alias(k) for k in shown), F.count("*").alias("records"), F.sum("value").alias("total"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -216,6 +257,7 @@ QUERIES = {
         op_split_words_documents, op_min_length_documents, count_by_word_top, count_by_event_type, count_by_user_string_order, count_by_totals,
         job_word_count, job_numbers, lineage_source_ids, lineage_child_ids, route_field_hash, route_shuffle, route_broadcast, fan_out_fan_in,
         parallel_edges_collapse, result_order_page, seal_inventory, seal_inventory_words, status_aggregates, watermark_prefix,
+        sealed_manifest, sealed_page, sealed_stream, job_status,
     )
 }
 
@@ -252,7 +294,9 @@ def _oracles() -> dict[str, str]:
     child = f"sha256(unhex('{identity.DOMAINS['child'].hex()}' || {_tuple('path')} || '{(JOB + struct.pack('>HH', 2, 0)).hex()}' || '00020000'))"
     shuffle = _U64(f"sha256(unhex('{(identity.DOMAINS['route'] + JOB + struct.pack('>H', 1)).hex()}' || {_tuple('path')}))")
     most = OPEN.default_page_bytes // (OPEN.record_overhead_bytes + 18)
-    checksum = lambda x: f"bit_xor(CAST('0x' || substr(sha256(CAST({x} AS VARCHAR)), 1, 15) AS BIGINT)) AS checksum"
+    summed = lambda digest, k: f"CAST(sum(CAST('0x' || substr({digest}, {16 * k + 1}, 16) AS UBIGINT)) AS VARCHAR)"
+    of = lambda name, x: f"'{name}:' || strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR)"
+    checksum = lambda text: " || '.' || ".join(summed(f"sha256({text})", k) for k in range(4)) + " AS checksum"
     return {
         "src_range": "SELECT range AS value FROM range(-1000, 49000)",
         "source_dealing": "SELECT CAST((value - 5) % 3 AS INTEGER) AS part, (value - 5) // 3 + 1 AS seq, value FROM (SELECT range AS value FROM range(5, 20005))",
@@ -278,8 +322,12 @@ def _oracles() -> dict[str, str]:
         "fan_out_fan_in": f"SELECT value * 2 AS value, seq FROM {_DEALT} UNION ALL SELECT value, seq FROM {_DEALT} WHERE value < 5000 UNION ALL SELECT value, seq FROM {_DEALT}",
         "parallel_edges_collapse": "SELECT o_orderkey AS value FROM orders",
         "result_order_page": f"SELECT value, CAST(part AS INTEGER) AS part, seq FROM {_DEALT} WHERE (part, seq) > (1, 500) ORDER BY part, seq LIMIT {most}",
-        "seal_inventory": f"SELECT CAST(l_orderkey % {PARTS} AS INTEGER) AS part, count(*) AS records, count(*) * 186 AS bytes, {checksum('l_orderkey')} FROM lineitem GROUP BY 1",
-        "seal_inventory_words": f"{_DOCS} SELECT CAST(doc_id % {PARTS} AS INTEGER) AS part, count(*) AS records, CAST(sum(168 + 2 + 2 + 4 + 1 + 2 + strlen(word)) AS BIGINT) AS bytes, {checksum('word')} FROM words GROUP BY 1",
+        "seal_inventory": f"SELECT CAST(l_orderkey % {PARTS} AS INTEGER) AS part, count(*) AS records, count(*) * 186 AS bytes, {checksum(of('value', 'l_orderkey'))} FROM lineitem GROUP BY 1",
+        "seal_inventory_words": f"{_DOCS} SELECT CAST(doc_id % {PARTS} AS INTEGER) AS part, count(*) AS records, CAST(sum(168 + 2 + 2 + 4 + 1 + 2 + strlen(word)) AS BIGINT) AS bytes, {checksum(of('word', 'word'))} FROM words GROUP BY 1",
+        "sealed_manifest": f"SELECT CAST({shuffle} % {PARTS} AS INTEGER) AS part, count(*) AS records, count(*) * 186 AS bytes, {checksum('upper(path) || ' + of('value', 'value'))} FROM (SELECT *, {_source_path()} AS path FROM {_DEALT}) GROUP BY 1",
+        "sealed_page": f"SELECT value, CAST(part AS INTEGER) AS part, seq FROM {_DEALT} ORDER BY part, seq LIMIT {most} OFFSET {most}",
+        "sealed_stream": f"SELECT value * 3 AS value, CAST(part AS INTEGER) AS part, seq FROM {_DEALT} WHERE value * 3 % 2 = 0 AND value * 3 < 30000",
+        "job_status": f"SELECT 'succeeded' AS state, {PARTS} AS source_task_count, {PARTS} AS completed_source_tasks, 2 AS result_partition_count, 2 AS manifest_count, false AS has_failure, count(*) AS records, CAST(sum(range * 3) AS BIGINT) AS total FROM range(-1000, 4000) WHERE range * 3 % 2 = 0",
         "watermark_prefix": f"SELECT CAST(part AS INTEGER) AS part, coalesce(min(CASE WHEN missing THEN seq END) - 1, max(seq)) AS completed, max(seq) AS eof, NOT bool_or(missing) AS final FROM (SELECT o_orderkey % {PARTS} AS part, o_orderkey // {PARTS} + 1 AS seq, o_custkey % 97 = 5 AS missing FROM orders) GROUP BY 1",
         "status_aggregates": f"SELECT CAST(part AS INTEGER) AS part, count(*) AS rows, max(seq) AS last_seq, count(*) = max(seq) AS contiguous FROM {_DEALT} GROUP BY 1",
     }

@@ -43,12 +43,22 @@ def record_bytes(rows: DataFrame, limits: Limits = DEFAULT) -> Column:
     return tuple_bytes(rows) + limits.record_overhead_bytes
 
 
+def record_digest(rows: DataFrame) -> Column:
+    """SHA-256 (hex) of a row's path, if it has one, and of name, length and value of each field that it has."""
+    parts = [F.hex("_path")] if "_path" in rows.columns else []
+    for name, kind in rows.dtypes:
+        if name not in LINEAGE:
+            value = F.hex(name) if kind == "binary" else F.col(name).cast("string")
+            parts.append(F.coalesce(F.concat(F.lit(f"{name}:"), F.octet_length(value).cast("string"), F.lit(":"), value), F.lit("")))
+    return F.sha2(F.concat(*parts), 256)
+
+
 def inventory(rows: DataFrame, by: str = "_part", limits: Limits = DEFAULT) -> DataFrame:
-    """Of each partition: records, bytes, and a checksum that does not depend on the order in which rows are met."""
-    fields = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields_of(rows)]
-    path = [F.hex("_path")] if "_path" in rows.columns else []
-    digest = F.conv(F.substring(F.sha2(F.concat_ws("\0", *path, *fields), 256), 1, 15), 16, 10).cast("long")
-    return rows.groupBy(by).agg(F.count("*").alias("records"), F.sum(record_bytes(rows, limits)).alias("bytes"), F.bit_xor(digest).alias("checksum"))
+    """Of each partition: records, bytes, and a checksum: the records' SHA-256 digests, summed up as four numbers of 64
+    bits. Sums do not depend on the order in which rows are met, and a row that is there twice counts twice."""
+    own = rows.select(by, record_bytes(rows, limits).alias("bytes"), record_digest(rows).alias("digest"))
+    sums = [F.sum(F.conv(F.substring("digest", 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(4)]
+    return own.groupBy(by).agg(F.count("*").alias("records"), F.sum("bytes").alias("bytes"), F.concat_ws(".", *sums).alias("checksum"))
 
 
 @dataclass(frozen=True)
@@ -60,9 +70,12 @@ class ResultSet:
     digest: str
 
 
-def seal(rows: DataFrame, folder: str, partitions: int, *, limits: Limits = DEFAULT, check_identity: bool = False) -> ResultSet:
-    """Computes all rows, which is what decides whether the job succeeds, and makes them visible."""
+def seal(rows: DataFrame, folder: str, partitions: int, *, limits: Limits = DEFAULT, collapse: bool = False) -> ResultSet:
+    """Computes all rows, which is what decides whether the job succeeds, and makes them visible. collapse: equal records
+    of one identity are one. What is left of one identity twice, in other fields or another partition, is an error."""
     spark = rows.sparkSession
+    if collapse:
+        rows = rows.distinct()
     if limits.data_limits:
         too_long = F.raise_error(F.lit(f"a row has more than {limits.tuple_bytes} bytes"))
         size = tuple_bytes(rows)
@@ -72,10 +85,9 @@ def seal(rows: DataFrame, folder: str, partitions: int, *, limits: Limits = DEFA
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).write.partitionBy("_part").parquet(f"{folder}/{data}")
     written = _read(spark, f"{folder}/{data}", rows)
-    if check_identity and not written.groupBy(*ORDER).count().filter("count > 1").isEmpty():
-        raise CorruptResult("one identity is in two sink partitions")
-    found = {r["_part"]: r for r in inventory(written, limits=limits).collect()}  # one row for each sink partition
-    parts = [{"partition": p, "records": found[p].records if p in found else 0, "bytes": found[p].bytes if p in found else 0, "checksum": found[p].checksum if p in found else 0} for p in range(partitions)]
+    if not written.groupBy("_path").count().filter("count > 1").isEmpty():
+        raise CorruptResult("one identity is there twice")
+    parts = _counted(written, partitions, limits)
     if limits.data_limits and sum(p["bytes"] for p in parts) > limits.result_bytes_per_job:
         raise LimitExceeded(f"a job's results have at most {limits.result_bytes_per_job} bytes")
     manifest = {"data": data, "schema": rows.schema.json(), "partitions": parts}
@@ -83,6 +95,21 @@ def seal(rows: DataFrame, folder: str, partitions: int, *, limits: Limits = DEFA
     return open_results(spark, folder)
 
 
+def _counted(written: DataFrame, partitions: int, limits: Limits) -> list[dict]:
+    found = {r["_part"]: r for r in inventory(written, limits=limits).collect()}  # one row for each sink partition
+    empty = Row(records=0, bytes=0, checksum="0.0.0.0")
+    own = [(p, found.get(p, empty)) for p in sorted({*range(partitions), *found})]
+    return [{"partition": p, "records": r["records"], "bytes": r["bytes"], "checksum": r["checksum"]} for p, r in own]
+
+
+def verify(results: ResultSet, limits: Limits = DEFAULT) -> ResultSet:
+    """Counts and digests all rows again; an error unless they are what the manifest says."""
+    stated = results.manifest["partitions"]
+    if _counted(results.rows, len(stated), limits) != stated:
+        raise CorruptResult("the rows are not those of the manifest")
+    return results
+
+
 def _read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).parquet(path).select(*like.columns)
 
@@ -120,14 +147,20 @@ def after(rows: DataFrame, cursor: tuple | None) -> DataFrame:
         return rows
     stage, part, seq, path = cursor
     at = F.struct(F.lit(stage).cast("int"), F.lit(part).cast("int"), F.lit(seq).cast("long"), F.unhex(F.lit(bytes(path).hex())))
-    return rows.filter((F.col("_src_partition") >= part) & (F.struct(*ORDER) > at))
+    prunes = (F.col("_src_stage") > stage) | ((F.col("_src_stage") == stage) & (F.col("_src_partition") >= part))
+    return rows.filter(prunes & (F.struct(*ORDER) > at))
 
 
-def page(results: ResultSet, cursor: tuple | None = None, budget: int | None = None, limits: Limits = DEFAULT) -> Page:
-    """The next records in order, whole, of at most budget bytes. What comes to the driver is bounded by the budget."""
+def _budget(budget: int | None, limits: Limits) -> int:
     budget = limits.default_page_bytes if budget is None else budget
     if not 1 <= budget <= limits.page_bytes:
         raise LimitExceeded(f"a page has 1..{limits.page_bytes} bytes")
+    return budget
+
+
+def page(results: ResultSet, cursor: tuple | None = None, budget: int | None = None, limits: Limits = DEFAULT) -> Page:
+    """The next records in order, whole, of at most budget bytes. What comes to the driver is bounded by the budget."""
+    budget = _budget(budget, limits)
     rows = results.rows.withColumn("_bytes", record_bytes(results.rows, limits))
     least = limits.record_overhead_bytes + 2
     most = min(limits.page_records, budget // least + 1)
@@ -145,13 +178,13 @@ def page(results: ResultSet, cursor: tuple | None = None, budget: int | None = N
 
 
 def pages(results: ResultSet, budget: int | None = None, limits: Limits = DEFAULT) -> Iterator[Row]:
-    cursor = None
-    while True:
-        own = page(results, cursor, budget, limits)
-        yield from own.records
-        if own.end:
-            return
-        cursor = own.cursor
+    """What page after page gives, by one sorted pass: the driver holds a partition of it at a time."""
+    budget = _budget(budget, limits)
+    rows = ordered(results.rows.withColumn("_bytes", record_bytes(results.rows, limits)))
+    for row in rows.toLocalIterator():
+        if row["_bytes"] > budget:
+            raise PageTooSmall(row["_bytes"])
+        yield row
 
 
 def rendered(row: Row, job_id: str, sink_stage: int) -> dict:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import chunks
 from millrace.limits import DEFAULT
+from millrace.session import spread
 
 
 def table_values(table: DataFrame, column: str) -> DataFrame:
@@ -17,4 +18,5 @@ def table_values(table: DataFrame, column: str) -> DataFrame:
 
 def table_lines(table: DataFrame, text_col: str, id_col: str, words: int = DEFAULT.words_per_line) -> DataFrame:
     """id_col, ordinal and line: each text is cut by itself, so (id, ordinal) names a line."""
-    return table.select(F.col(id_col), F.posexplode(chunks(F.col(text_col), words)).alias("ordinal", "line"))
+    rows = spread(table.select(id_col, text_col))  # cutting texts is worth a core for each part of them
+    return rows.select(F.col(id_col), F.posexplode(chunks(F.col(text_col), words)).alias("ordinal", "line"))

@@ -11,7 +11,8 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.root = root.rstrip("/")
         self._jvm = spark.sparkContext._jvm
-        self._files = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._gateway, self._conf = spark.sparkContext._gateway, spark.sparkContext._jsc.hadoopConfiguration()
+        self._files = self._path("").getFileSystem(self._conf)
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -32,17 +33,21 @@ class Store:
         stream = self._files.create(aside, False)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if replace:
-            self._files.delete(target, False)
-        elif self._files.exists(target):
-            self._files.delete(aside, False)
-            return False
-        return self._files.rename(aside, target)
+        if not replace:
+            if self._files.exists(target):
+                self._files.delete(aside, False)
+                return False
+            return self._files.rename(aside, target)
+        hadoop = self._jvm.org.apache.hadoop.fs
+        options = self._gateway.new_array(hadoop.Options.Rename, 1)
+        options[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(self._path("").toUri(), self._conf).rename(aside, target, options)  # the old file or the new one
+        return True
 
     def names(self, folder: str) -> list[str]:
         if not self.exists(folder):
             return []
-        return sorted(s.getPath().getName() for s in self._files.listStatus(self._path(folder)))
+        return sorted(s.getPath().getName() for s in self._files.listStatus(self._path(folder)) if not s.getPath().getName().endswith(".new"))
 
     def delete(self, name: str) -> None:
         self._files.delete(self._path(name), True)

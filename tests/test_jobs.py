@@ -144,7 +144,7 @@ def test_data_limits(spark, tmp_path):
 def test_identity_in_two_partitions(spark, tmp_path):
     g = graph("p", ("range", 1, {"start": 0, "end_exclusive": 40}), ("collect", 2, {}), edges=[(1, 2, "shuffle"), (1, 2, "shuffle")])
     with pytest.raises(CorruptResult):
-        sealed(spark, g, tmp_path / "r", check_identity=True)
+        sealed(spark, g, tmp_path / "r")
 
 
 def test_count_by(spark):
@@ -185,6 +185,38 @@ def test_job(catalogue):
         catalogue.status("00" * 16)
 
 
+def test_streamed_job(catalogue, monkeypatch):
+    told, own = [], Catalogue._progressed
+    monkeypatch.setattr(Catalogue, "_progressed", lambda self, job, done: (told.append(done), own(self, job, done)))
+    job = catalogue.submit(NUMBERS.topology, CLIENT, 1)["job_id"]
+    status = catalogue.run(job, stream=True)
+    assert (status["state"], status["completed_source_tasks"], told[-1]) == ("succeeded", 2, 2) and told == sorted(told)
+    assert catalogue.results(job).rows.count() == 6
+    failing = catalogue.submit(OVERFLOW.topology, CLIENT, 2)["job_id"]
+    assert catalogue.run(failing, stream=True)["failure_code"] == 1
+    assert catalogue.overview()["states"] | {"succeeded": 1, "failed": 1} == catalogue.overview()["states"]
+
+
+def test_a_job_always_ends(catalogue, monkeypatch):
+    job = catalogue.submit(NUMBERS.topology, CLIENT, 1)["job_id"]
+    monkeypatch.setattr(results, "seal", lambda *a, **b: (_ for _ in ()).throw(OSError("disk")))
+    with pytest.raises(OSError):
+        catalogue.run(job)
+    status = catalogue.status(job)
+    assert (status["state"], status["failure_code"]) == ("failed", 3)
+
+
+def test_damaged_results(catalogue, spark):
+    job = catalogue.submit(NUMBERS.topology, CLIENT, 1)["job_id"]
+    catalogue.run(job)
+    found = results.open_results(spark, f"{catalogue.root}/jobs/{job}/results")
+    rows = found.rows.withColumn("value", F.when(F.col("value") == 3, 4).otherwise(F.col("value")))
+    for other in (rows, found.rows.filter("value <> 3"), found.rows.unionByName(found.rows.filter("value = 3"))):
+        with pytest.raises(CorruptResult):
+            results.verify(results.ResultSet(other, found.manifest, found.digest))
+    assert results.verify(found) is found
+
+
 def test_failing_job(catalogue):
     job = catalogue.submit(OVERFLOW.topology, CLIENT, 1)["job_id"]
     status = catalogue.run(job)
@@ -286,6 +318,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert own.manifest["partitions"] == batch.manifest["partitions"]
 
 
+def test_parallel_edges_of_a_stream_are_made_one(spark, tmp_path):
+    g = graph("p", ("range", 2, {"start": 0, "end_exclusive": 9}), ("collect", 1, {}), edges=[(1, 2, "shuffle"), (1, 2, "shuffle")])
+    own = streaming.run_sealed(spark, g, JOB, str(tmp_path))
+    assert sorted(r.value for r in own.rows.collect()) == list(range(9))
+
+
+def test_progress_of_a_stopped_stream(spark, tmp_path):
+    source, checkpoint = str(tmp_path / "source"), str(tmp_path / "checkpoint")
+    range_rows(spark, 0, 4, 2).coalesce(1).write.parquet(source)
+    streaming.run_stream(spark, NUMBERS, JOB, source, str(tmp_path / "out"), checkpoint)
+    range_rows(spark, 4, 6, 2).selectExpr("value", "_src_partition", "_src_seq + 2L as _src_seq").coalesce(1).write.mode("append").parquet(source)
+    done = {r.part: (r.completed, r.final) for r in streaming.completed(spark, source, checkpoint, (2, 3)).collect()}
+    assert done == {0: (2, True), 1: (2, False)}
+
+
 def test_stream_goes_on(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / x) for x in ("source", "out", "checkpoint"))
     streaming.source_files(spark, NUMBERS, source, files=3)
