@@ -15,7 +15,7 @@ from millrace.plans import planner, spec
 from millrace.plans.spec import Edge, Stage, Topology
 from millrace.plans.validate import validate
 from millrace.registry import fingerprint
-from millrace.session import work_dir
+from millrace.session import spread, work_dir
 from millrace.sources import range_rows, table_lines, table_values
 from millrace.streaming.progress import completed_prefix
 
@@ -187,7 +187,7 @@ def result_order_page(spark, sf_dir):
 
 
 def seal_inventory(spark, sf_dir):
-    rows = dealt(_values(spark, sf_dir, "lineitem", "l_orderkey")).withColumn("_part", F.col("_src_partition"))
+    rows = dealt(spread(_values(spark, sf_dir, "lineitem", "l_orderkey"))).withColumn("_part", F.col("_src_partition"))
     return results.inventory(rows.select("value", "_part")).withColumnRenamed("_part", "part")
 
 
