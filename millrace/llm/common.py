@@ -9,7 +9,6 @@ but unread files behind.
 from __future__ import annotations
 
 import io
-import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -19,6 +18,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.session import shared_root, spread, work_dir
 
 _SHIPPED: set[str] = set()
 BATCH_BYTES = 8 << 20
@@ -43,27 +43,6 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; one of our own only where none is set (tests)."""
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not root:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
-        root = context.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def work_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder below the shared one. It goes when the driver's JVM ends: lazy results still read from it before."""
-    path = f"{shared_root(spark)}/millrace/{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(where)
-    files.deleteOnExit(where)
-    return path
-
-
 def clear(spark: SparkSession) -> None:
     """Removes all work folders below the shared one. Only results that were written elsewhere can be read afterwards."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/millrace")
@@ -104,3 +83,6 @@ def utf8(column: pa.Array) -> list[bytes]:
 def texts(column: pa.Array) -> list[str]:
     """A text column as strings; null counts as empty."""
     return ["" if x is None else x for x in column.to_pylist()]
+
+
+__all__ = ["clear", "new_file", "opened", "rows_of", "ship", "shared_root", "shuffle_partitions", "spread", "stage", "texts", "utf8", "work_dir"]

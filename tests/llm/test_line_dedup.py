@@ -35,9 +35,10 @@ def run(docs_of, rows, **more):
     return sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got), key=str)
 
 
-@pytest.mark.parametrize("bits", [1 << 27, 64])
-def test_random(docs_of, bits, monkeypatch):
+@pytest.mark.parametrize("bits, table", [(1 << 27, 1 << 20), (64, 1 << 20), (1 << 27, 0), (64, 0)])
+def test_random(docs_of, bits, table, monkeypatch):
     monkeypatch.setattr(line_dedup, "MOST_BITS", bits)
+    monkeypatch.setattr(line_dedup, "TABLE", table)
     rng = random.Random(bits)
     lines = ["x" * n + str(k) for k, n in enumerate([10, 38, 39, 40, 60, 300])] + ["é" * 39, "é" * 40, "Ü" * 41, "", " ", "A" * 40 + "\r", "\t" + "a" * 40, "İ" * 40]
     rows = [(k if k % 17 else None, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 5)))) for k in range(40)]
@@ -67,3 +68,18 @@ def test_filters():
     line_dedup.put(bits, keys, 1 << 18)
     assert line_dedup.holds(bits, keys, 1 << 18).all()
     assert line_dedup.holds(bits, rng.integers(0, 1 << 63, 20000, dtype=np.uint64), 1 << 18).mean() < 0.01
+
+
+def test_hashes_that_meet():
+    """Two keys with one hash are told apart by their digests."""
+    a, b = b"a" * 50, b"b" * 50
+    names = [line_dedup.key_of(a), line_dedup.key_of(a)[:8] + line_dedup.key_of(b)[8:]]
+    assert line_dedup.Shared(names, [7, 9]).drops([1, 7, 2], [a, b"x\n" + a, b], 40) == [[0], None, None]
+
+
+def test_suspects_are_few(spark):
+    rng = random.Random(3)
+    texts = ["\n".join(f"{rng.random()} one line of over forty code points" for _ in range(20)) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts + texts[:7]], "text string")
+    got = [r.hash for r in line_dedup.suspects(rows, 40).collect()]
+    assert 140 <= len(got) <= 160 and len(set(got)) == len(got)
