@@ -7,17 +7,21 @@ each pair of neighbours. Forward-backward gives each word's distribution over th
 between languages is labelled in stretches. A document's language is the one with the largest mean over its words with
 letters; the mean is the score.
 
-Training is on the driver, by full-batch gradient steps on the likelihood. Its sample is PER_LANGUAGE documents of every
-language, chosen by a hash of their id at the rate that their count over the whole table gives; memory grows with the
-number of languages. Words are given their document's language, in sequences of WINDOW words; half of them swap their
-tails with another's, so that transitions are learned from switches. The model, at most 2^FEATURE_BITS weights for each
-language, is broadcast.
-
-Prediction runs over all words of a text in windows of WINDOW. Longer words than 16 characters, as lines are in scripts
-without spaces, are cut into consecutive words of at most 16, in training too, so all of a text is read.
+Training is on the driver, by full-batch gradient steps on the likelihood. Its sample is about PER_LANGUAGE rows of every
+language, chosen by a hash of id and text at the rate that their count over the whole table gives; of a longer text than
+SAMPLE_CHARS it takes so many characters, from a place that the hash gives. So the sample has a bounded size for each
+language. Words are given their document's language, in sequences of WINDOW words; half of them swap their tails with
+another's, so that transitions are learned from switches. The model, at most 2^FEATURE_BITS weights for each language, is
+broadcast.
+
+Prediction runs over all words of a text as one chain. It is computed in windows of WINDOW words, many at a time: the
+product of a window's steps is a small matrix, these carry the forward and backward weights from window to window, and
+then each window is done with the weights that reach it from both sides. Longer words than 16 characters, as lines are in
+scripts without spaces, are cut into consecutive words of at most 16, in training too, so all of a text is read.
 
 Defined cases: text that is null or has no letter is "und" with score 0, as is everything if nothing could be learned;
-rows are independent, so ties, repeated rows and null ids need no care; an empty table gives no rows.
+rows are independent, so ties, repeated rows and null ids have no influence (a row without an id is drawn by its text,
+and one that is repeated is drawn each time or not at all); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,8 +39,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 
-PER_LANGUAGE, WINDOW, FEATURE_BITS, STEPS = 150, 64, 17, 30
+PER_LANGUAGE, SAMPLE_CHARS, WINDOW, FEATURE_BITS, STEPS = 150, 20_000, 64, 17, 30
 WIDE = 16
+#: Numbers (windows x words x languages) that are held at once.
+AT_ONCE = 1 << 22
 NO_LETTERS = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -94,9 +100,10 @@ def features(words: list[str]) -> np.ndarray:
 # --------------------------------------------------------------------------------------------------------- the chain
 
 
-def forward_backward(scores: np.ndarray, mask: np.ndarray, start: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forward_backward(scores: np.ndarray, mask: np.ndarray, start: np.ndarray, step: np.ndarray, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """scores: (sequences, length, labels), positive; mask: words that are there, from the left; start and step:
-    positive weights. The words' distributions, the sum of the pairs', and those of the first words."""
+    positive weights, start for all sequences or for each; after: backward weights at the end of sequences whose words are
+    all there. The words' distributions, the sum of the pairs', and those of the first words."""
     n, length, labels = scores.shape
     alpha = np.empty_like(scores)
     alpha[:, 0] = scores[:, 0] * start
@@ -106,7 +113,7 @@ def forward_backward(scores: np.ndarray, mask: np.ndarray, start: np.ndarray, st
         alpha[:, t] = a / a.sum(axis=1, keepdims=True)
     gamma = np.empty_like(scores)
     pairs = np.zeros((labels, labels))
-    beta = np.ones((n, labels), dtype=scores.dtype)
+    beta = np.ones((n, labels), dtype=scores.dtype) if after is None else after.astype(scores.dtype)
     for t in range(length - 1, -1, -1):
         g = alpha[:, t] * beta
         gamma[:, t] = g / g.sum(axis=1, keepdims=True)
@@ -120,6 +127,50 @@ def forward_backward(scores: np.ndarray, mask: np.ndarray, start: np.ndarray, st
     return gamma, pairs, gamma[:, 0]
 
 
+def transfers(scores: np.ndarray, mask: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """(sequences, labels, labels): what carries forward weights before a sequence over all its words, up to a factor."""
+    n, length, labels = scores.shape
+    step = step.astype(np.float64)
+    out = np.broadcast_to(np.eye(labels), (n, labels, labels)).copy()
+    for t in range(length):
+        new = (out.reshape(-1, labels) @ step).reshape(out.shape) * scores[:, t, None, :]
+        out = new if mask[:, t].all() else np.where(mask[:, t, None, None], new, out)
+        if t % 8 == 7 or t + 1 == length:
+            out /= out.max(axis=(1, 2), keepdims=True)
+    return out
+
+
+def chained(scores: np.ndarray, mask: np.ndarray, place: np.ndarray, start: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """The distributions of the words of windows: scores and mask as forward_backward() takes them; place: each window's
+    number in its text. A text's windows follow each other, and all but its last are full."""
+    n, _, labels = scores.shape
+    before = np.broadcast_to(start.astype(np.float64), (n, labels)).copy()
+    after = np.ones((n, labels))
+    last = np.append(place[1:] == 0, True)
+    if place.any():
+        many = ~((place == 0) & last)
+        whole = np.empty((n, labels, labels))
+        whole[many] = transfers(scores[many], mask[many], step)
+        # a first window's words begin with start, not with a step from what was before
+        first = np.flatnonzero((place == 0) & ~last)
+        head = start * scores[first, 0].astype(np.float64)
+        head /= head.sum(axis=1, keepdims=True)
+        rest = transfers(scores[first, 1:], mask[first, 1:], step)
+        ends = np.empty((n, labels))
+        ends[first] = np.einsum("ni,nij->nj", head, rest)
+        ends[first] /= ends[first].sum(axis=1, keepdims=True)
+        for k in range(1, int(place.max()) + 1):
+            own = np.flatnonzero(place == k)
+            before[own] = ends[own - 1] @ step
+            ends[own] = np.einsum("ni,nij->nj", ends[own - 1], whole[own])
+            ends[own] /= ends[own].sum(axis=1, keepdims=True)
+        for k in range(int(place.max()), 0, -1):
+            own = np.flatnonzero(place == k)
+            x = np.einsum("nij,nj->ni", whole[own], after[own])
+            after[own - 1] = x / x.sum(axis=1, keepdims=True) * labels
+    return forward_backward(scores, mask, before.astype(scores.dtype), step, after)[0]
+
+
 @dataclass
 class Model:
     labels: list[str]
@@ -164,26 +215,37 @@ def fit(samples: list[tuple[str, str]], seed: int = 1, rate: float = 0.2, decay:
     ids, truth, mask = ids[rest], truth[rest], mask[rest]
     feats = features(list(numbers))
     size = 1 << FEATURE_BITS
-    gold = np.eye(k)[truth] * mask[..., None]
+    word, _ = at = np.nonzero(feats)
+    flat = feats[at]
+    firsts = np.flatnonzero(np.diff(word, prepend=-1))  # of the words that have features: all
+    by_feature = np.argsort(flat, kind="stable")
+    of_feature = word[by_feature]
+    used, starts = np.unique(flat[by_feature], return_index=True)
     both = mask[:, 1:] & mask[:, :-1]
-    gold_pairs = np.zeros((k, k))
+    gold_pairs, gold_start = np.zeros((k, k)), np.bincount(truth[mask[:, 0], 0], minlength=k)
     np.add.at(gold_pairs, (truth[:, :-1][both], truth[:, 1:][both]), 1)
+    gold = np.stack([np.bincount(ids[mask], truth[mask] == j, len(feats)) for j in range(k)], axis=1)
     params = [np.zeros((size, k)), np.zeros(k), np.zeros((k, k))]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    total = mask.sum()
-    flat_ids = ids[mask]
+    total, rows_at_once = mask.sum(), max(1, AT_ONCE // (WINDOW * k))
     for turn in range(1, STEPS + 1):
         weights, start, step = params
-        score = sum(weights[own] for own in feats.T)
-        scores = np.exp(score - score.max(axis=1, keepdims=True))[ids]
-        scores[~mask] = 1
-        gamma, pairs, first = forward_backward(scores, mask, np.exp(start), np.exp(step))
-        slope = (gold - gamma * mask[..., None])[mask]
-        by_word = np.stack([np.bincount(flat_ids, slope[:, j], len(feats)) for j in range(k)], axis=1)
-        grad = np.stack([sum(np.bincount(own, by_word[:, j], size) for own in feats.T) for j in range(k)], axis=1)
-        grad[0] = 0
-        own = mask[:, 0]
-        grads = [grad / total - decay * weights, ((gold[:, 0] - first) * own[:, None]).sum(axis=0) / total, (gold_pairs - pairs) / total]
+        score = np.stack([np.add.reduceat(np.ascontiguousarray(w)[flat], firsts) for w in weights.T], axis=1)
+        score = np.exp(score - score.max(axis=1, keepdims=True))
+        by_word, first, pairs = gold.copy(), np.zeros(k), np.zeros((k, k))
+        for r in range(0, len(ids), rows_at_once):
+            own, there = ids[r : r + rows_at_once], mask[r : r + rows_at_once]
+            scores = score[own]
+            scores[~there] = 1
+            gamma, own_pairs, own_first = forward_backward(scores, there, np.exp(start), np.exp(step))
+            pairs += own_pairs
+            first += own_first[there[:, 0]].sum(axis=0)
+            for j in range(k):
+                by_word[:, j] -= np.bincount(own[there], gamma[..., j][there], len(feats))
+        grad = np.zeros((size, k))
+        for j in range(k):
+            grad[used, j] = np.add.reduceat(np.ascontiguousarray(by_word[:, j])[of_feature], starts)
+        grads = [grad / total - decay * weights, (gold_start - first) / total, (gold_pairs - pairs) / total]
         for p, g, (m, v) in zip(params, grads, moments, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -223,21 +285,24 @@ class Labeller:
             self.known = len(self.numbers)
         sizes = np.array([len(x) for x in ids], dtype=np.int64)
         flat = np.concatenate(ids)
-        windows = -(-sizes // WINDOW)
-        first = np.concatenate([[0], np.cumsum(windows)])  # window of each text
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + WINDOW * np.repeat(first[:-1], sizes)
         out = np.empty((len(flat), len(self.model.labels)), dtype=np.float32)
-        grid = np.full(WINDOW * first[-1], -1, dtype=np.int64)
-        grid[place] = flat
-        most = 8192 * WINDOW
-        for k in range(0, len(grid), most):
-            own = grid[k : k + most].reshape(-1, WINDOW)
-            mask = own >= 0
-            scores = self.scores[own]
-            scores[~mask] = 1
-            gamma, _, _ = forward_backward(scores, mask, self.model.start, self.model.step)
-            a, b = np.searchsorted(place, [k, k + most])
-            out[a:b] = gamma.reshape(-1, out.shape[1])[place[a:b] - k]
+        windows, stops = -(-sizes // WINDOW), np.cumsum(sizes)
+        most, first = max(1, AT_ONCE // (WINDOW * len(self.model.labels))), 0
+        while first < len(texts):  # as many texts as make most windows, and one at least
+            last = max(first + 1, int(np.searchsorted(np.cumsum(windows[first:]), most, side="right")) + first)
+            own, a, b = windows[first:last], stops[first] - sizes[first], stops[last - 1]
+            if b > a:
+                at = np.cumsum(own) - own  # the first window of each text
+                place = np.arange(b - a) - np.repeat(stops[first:last] - sizes[first:last] - a, sizes[first:last]) + WINDOW * np.repeat(at, sizes[first:last])
+                grid = np.full(WINDOW * own.sum(), -1, dtype=np.int64)
+                grid[place] = flat[a:b]
+                grid = grid.reshape(-1, WINDOW)
+                mask = grid >= 0
+                scores = self.scores[grid]
+                scores[~mask] = 1
+                found = chained(scores, mask, np.arange(len(grid)) - np.repeat(at, own), self.model.start, self.model.step)
+                out[a:b] = found.reshape(-1, out.shape[1])[place]
+            first = last
         return np.repeat(np.arange(len(texts)), sizes), out, self.letters[flat]
 
     def documents(self, texts: list[str]) -> list[tuple[str, float]]:
@@ -260,9 +325,11 @@ def train(docs: DataFrame, eligible: Column, *, id_col: str = "doc_id", text_col
     counts = rows.groupBy("lang").count().collect()
     if not counts:
         return fit([])
-    draw = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 40))
+    draw = F.pmod(F.xxhash64("id", "text", F.lit(17)), F.lit(1 << 40))
+    spare = F.length("text") - SAMPLE_CHARS
+    piece = F.when(spare > 0, F.substring("text", F.pmod(F.xxhash64("id", "text", F.lit(18)), spare + 1).cast("int") + 1, F.lit(SAMPLE_CHARS))).otherwise(F.col("text"))
     below = docs.sparkSession.createDataFrame([(r.lang, min(1 << 40, (per_language << 40) // r["count"])) for r in counts], "lang string, below long")
-    sample = rows.join(F.broadcast(below), "lang").filter(draw < F.col("below")).select("id", "text", "lang").limit(2 * per_language * len(counts))
+    sample = rows.join(F.broadcast(below), "lang").filter(draw < F.col("below")).select("id", piece.alias("text"), "lang").limit(2 * per_language * len(counts))
     return fit([(r.text, r.lang) for r in sorted(sample.collect(), key=lambda r: (str(r.id), r.text, r.lang))])
 
 
@@ -337,5 +404,5 @@ def held_out(id_col: str = "doc_id") -> Column:
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, ~held_out())
-    found = predict(docs.select("doc_id", "text"), model)
+    found = predict(common.spread(docs.select("doc_id", "text")), model)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

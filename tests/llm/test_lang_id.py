@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -97,3 +98,58 @@ def test_nothing_learned(docs_of):
     assert lang_id.predict(docs_of([]), lang_id.fit(samples(1, 5))).count() == 0
     one = lang_id.fit([("some words", "aa")])
     assert lang_id.Labeller(one).documents(["other words", "1"]) == [("aa", 1.0), ("und", 0.0)]
+
+
+def naive(model, text):
+    """The distributions of a text's words by one chain, word after word."""
+    scores, letters = model.emissions([w.lower() for w in lang_id.words_of(text)])
+    start, step = model.start.astype(float), model.step.astype(float)
+    alpha, beta = [], [np.ones(len(start))]
+    for t, row in enumerate(scores.astype(float)):
+        a = row * (alpha[-1] @ step if t else start)
+        alpha.append(a / a.sum())
+    for row in scores.astype(float)[:0:-1]:
+        b = step @ (row * beta[-1])
+        beta.append(b / b.sum())
+    p = np.array(alpha) * np.array(beta[::-1])
+    return p / p.sum(axis=1, keepdims=True), letters
+
+
+@pytest.mark.parametrize("at_once", [1 << 22, 400])
+def test_the_chain_goes_over_windows(model, monkeypatch, at_once):
+    monkeypatch.setattr(lang_id, "AT_ONCE", at_once)
+    rng = random.Random(8)
+    texts = [text(rng, "aa", n) + " " + text(rng, "bb", m) for n, m in ((30, 40), (63, 1), (100, 100), (64, 128), (1, 1), (200, 3))]
+    # near ties, so that much hangs on what is further off
+    soft = lang_id.Model(model.labels, model.weights / 8, model.start, model.step)
+    number, p, letters = lang_id.Labeller(soft).words(["", *texts, "12"])
+    for k, t in enumerate(texts, 1):
+        want, has = naive(soft, t)
+        assert np.allclose(p[number == k], want, atol=1e-4) and (letters[number == k] == has).all()
+
+
+def test_long_samples_are_bounded(docs_of, monkeypatch):
+    monkeypatch.setattr(lang_id, "SAMPLE_CHARS", 50)
+    seen = []
+    monkeypatch.setattr(lang_id, "fit", lambda samples: seen.extend(samples))
+    rows = [(None, f"{k} " + "word " * 100, "aa") for k in range(40)] + [(1, "short", "bb")]
+    lang_id.train(docs_of(rows), F.lit(True), per_language=20)
+    assert max(len(t) for t, _ in seen) == 50 and 5 < sum(lang == "aa" for _, lang in seen) < 38 and ("short", "bb") in seen
+
+
+def test_query_against_one_chain(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(k, text(rng, lang, rng.randint(1, 200)), lang) for k in range(90) for lang in SYLLABLES] + [(500, None, "aa"), (501, "", None), (502, "12", "bb"), (None, text(rng, "bb", 70), None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = lang_id.train(docs, ~lang_id.held_out())
+    got = lang_id.op6_language_id(spark, str(tmp_path)).collect()
+    want = []
+    for doc_id, t, _ in rows:
+        lang, score = "und", 0.0
+        if lang_id.LETTER.search(t or ""):
+            p, letters = naive(model, t)
+            mean = p[letters].mean(axis=0)
+            lang, score = model.labels[int(mean.argmax())], mean.max()
+        want.append((doc_id, doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0, lang, round(float(score), 3)))
+    assert sorted(((r.doc_id, r.held_out, r.lang_pred, round(r.score, 3)) for r in got), key=str) == sorted(want, key=str)
