@@ -11,11 +11,14 @@ With singles=False, pairs that are held once are left out: the levels are 1..flo
 
 1. Tasks turn texts into chunk files in the shared folder: the hashes of the chunk's words, sorted, and the texts as
    numbers of those words. Chunks are bounded. What is shuffled are packed arrays, one for each chunk and slice of the
-   hashes: words with their counts, and pairs with theirs.
+   hashes: words and pairs with their training counts. The number of slices follows the bytes of text, so a slice's
+   size does not grow with the table. (There are chunks x slices such rows; with more memory for a task, larger chunks
+   and slices make them fewer.)
 2. A slice's task sums them up, answers every chunk with the total counts of just its words, and makes the slice's
    part of the filter. So exact counts reach the texts without a table of all words in one place.
-3. Each chunk is scored from its file, the answers, and the filter: broadcast where it has at most BROADCAST bytes, and
-   read from the shared folder in groups of slices of at most that many bytes otherwise.
+3. Each chunk is scored from its file, the answers, and the filter. How large the filter can get is known before it is made,
+   from the pieces' counts: a filter of at most BROADCAST bytes is broadcast, once for each worker. A larger one stays in
+   its slices: the slice's task probes it for the pairs that each chunk has sent, and answers with their levels.
 
 Words and pairs are named by 64-bit hashes (48 bits in the filter's input): two words of a corpus of a billion distinct
 ones meet with a probability of about 3 %, of the millions of a large crawl's language under one in a million.
@@ -44,8 +47,8 @@ from millrace.llm import common
 
 #: A chunk has about this many tokens, or distinct words, at most (and one text at least).
 CHUNK_TOKENS, CHUNK_WORDS = 2_000_000, 250_000
-#: Bytes of filter that are held at once.
-BROADCAST = 64 << 20
+#: Bytes of text for each slice of the hashes; bytes of a filter that is broadcast, at most.
+SLICE_TEXT, BROADCAST = 16 << 20, 32 << 20
 BITS_PER_ENTRY, HASHES, BACKOFF = 12, 4, 4.0
 BEGIN, END = (xxhash.xxh3_64_intdigest(x) for x in (b"\nbegin", b"\nend"))  # no word holds a line feed
 
@@ -103,7 +106,7 @@ def _places(keys: np.ndarray, level: int, k: int, bits: np.ndarray | int) -> np.
 
 def build_filter(keys: np.ndarray, counts: np.ndarray, bits_per_entry: int, singles: bool = False) -> np.ndarray:
     """Bytes of the filter of one slice."""
-    levels = np.frexp(counts.astype(np.float64))[1] - (0 if singles else 1)
+    levels = levels_of(counts, singles)
     n_bits = filter_bits(int(levels.sum()), bits_per_entry)
     bits = np.zeros(n_bits // 8, dtype=np.uint8)
     for level in range(1, int(levels.max(initial=0)) + 1):
@@ -144,10 +147,15 @@ class Filters:
 
 # --------------------------------------------------------------------------------------------------------------- steps
 
-PARTS = "slice int, pairs boolean, chunk string, data binary"
+PARTS = "slice int, pairs boolean, chunk string, data binary, entries long"
 SUMS = "kind string, slice int, chunk string, data binary, n long, v long"
 
 
+def levels_of(counts: np.ndarray, singles: bool) -> np.ndarray:
+    """How many levels pairs of these counts have; those of a sum are at most as many as its parts' together."""
+    return np.maximum(np.frexp(counts.astype(np.float64))[1] - (0 if singles else 1), 0)
+
+
 def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
     fields = [f.split() for f in schema.split(", ")]
@@ -172,7 +180,7 @@ class _Chunk:
         self.train.append(train)
         self.total += len(own)
 
-    def close(self, folder: str, slices: int) -> list[tuple]:
+    def close(self, folder: str, slices: int, singles: bool) -> list[tuple]:
         """Writes the file; the packed counts."""
         words = np.fromiter(map(xxhash.xxh3_64_intdigest, self.numbers), dtype=np.uint64, count=len(self.numbers))
         order = np.argsort(words)
@@ -192,37 +200,38 @@ class _Chunk:
         for k in range(slices):
             if stops[k] < stops[k + 1]:
                 own = slice(stops[k], stops[k + 1])
-                rows.append((k, False, name, pack([words[own], counts[own]])))
-        last = np.cumsum(sizes, dtype=np.int64) - 1
-        pair = learned[1:].copy()
-        pair[last[:-1]] = False
-        hashed = words[tokens]
-        keys, counts = np.unique(pair_keys(hashed[:-1][pair], hashed[1:][pair]), return_counts=True)
+                rows.append((k, False, name, pack([words[own], counts[own]]), 0))
+        second = np.ones(len(tokens), dtype=bool)
+        second[np.cumsum(sizes, dtype=np.int64) - sizes] = False  # all but the begin marks
+        at, hashed = np.flatnonzero(second), words[tokens]
+        keys, pair = np.unique(pair_keys(hashed[at - 1], hashed[at]), return_inverse=True)
+        counts = np.bincount(pair[learned[at]], minlength=len(keys)).astype(np.uint32)
         stops = cuts(keys, 16, slices)
         for k in range(slices):
             if stops[k] < stops[k + 1]:
-                own = keys[stops[k] : stops[k + 1]]
-                rows.append((k, True, None, pack([np.diff(own, prepend=np.uint64(0)), counts[stops[k] : stops[k + 1]].astype(np.uint32)])))
+                own, n = keys[stops[k] : stops[k + 1]], counts[stops[k] : stops[k + 1]]
+                rows.append((k, True, name, pack([np.diff(own, prepend=np.uint64(0)), n]), int(levels_of(n, singles).sum())))
         return rows
 
 
-def _tokenize(folder: str, slices: int):
+def _tokenize(folder: str, slices: int, singles: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = _Chunk()
         for batch in common.rows_of(batches, 512):
             for doc_id, text, held in zip(batch.column(0).to_pylist(), common.utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 chunk.add(doc_id, text, not held)
                 if chunk.total >= CHUNK_TOKENS or len(chunk.numbers) >= CHUNK_WORDS:
-                    yield _batch(PARTS, chunk.close(folder, slices))
+                    yield _batch(PARTS, chunk.close(folder, slices, singles))
                     chunk = _Chunk()
         if chunk.sizes:
-            yield _batch(PARTS, chunk.close(folder, slices))
+            yield _batch(PARTS, chunk.close(folder, slices, singles))
 
     return run
 
 
-def _sum_up(bits_per_entry: int, singles: bool):
-    """Of each slice, sorted by (slice, pairs): replies to the chunks and totals, or its filter."""
+def _sum_up(bits_per_entry: int, singles: bool, slices: int, reply: bool):
+    """Of each slice, sorted by (slice, pairs): replies to the chunks and totals, or its filter or, with reply, the levels that
+    it gives the chunks' pairs."""
     begin = np.uint64(BEGIN)
 
     def words(k: int, rows: list[tuple[str, bytes]]) -> Iterator[tuple]:
@@ -238,13 +247,20 @@ def _sum_up(bits_per_entry: int, singles: bool):
             stop += len(own)
 
     def pairs(k: int, rows: list[tuple[str, bytes]]) -> Iterator[tuple]:
-        parts = [unpack(data) for _, data in rows]
-        keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+        parts = [(chunk, *unpack(data)) for chunk, data in rows]
+        sent = [np.cumsum(p[1], dtype=np.uint64) for p in parts]
+        keys = np.concatenate(sent)
         order = np.argsort(keys)
-        keys, counts = keys[order], np.concatenate([p[1] for p in parts])[order]
+        keys, counts = keys[order], np.concatenate([p[2] for p in parts])[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        bits = build_filter(keys[first], np.add.reduceat(counts.astype(np.uint64), first), bits_per_entry, singles)
-        yield ("filter", k, None, bits.tobytes(), len(bits), None)
+        keys, counts = keys[first], np.add.reduceat(counts.astype(np.uint64), first)
+        bits = build_filter(keys[counts > 0], counts[counts > 0], bits_per_entry, singles)
+        if not reply:
+            yield ("filter", k, None, bits.tobytes(), len(bits), None)
+            return
+        levels = Filters({k: bits.tobytes()}, slices).levels(keys)
+        for (chunk, *_), own in zip(parts, sent, strict=True):
+            yield ("levels", k, chunk, pack([levels[np.searchsorted(keys, own)]]), None, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -265,32 +281,12 @@ def _sum_up(bits_per_entry: int, singles: bool):
     return run
 
 
-def _filter_groups(sizes: dict[int, int]) -> list[list[int]]:
-    groups, held = [[]], 0
-    for k in sorted(sizes):
-        if groups[-1] and held + sizes[k] > BROADCAST:
-            groups.append([])
-            held = 0
-        groups[-1].append(k)
-        held += sizes[k]
-    return groups
-
-
-def _score(n: int, v: int, slices: int, groups: list[list[int]], one, filters: str, id_col: str, singles: bool):
-    import pyarrow.parquet as pq
-
-    def load(group: list[int]) -> Filters:
-        if one is not None:
-            return Filters(one.value, slices)
-        files, path = common.opened(filters)
-        table = pq.read_table(path, filesystem=files, columns=["slice", "data"], filters=[("slice", "in", group)])
-        return Filters(dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True)), slices)
-
-    def scored(chunk: str, replies: list[bytes]) -> pa.RecordBatch:
+def _score(n: int, v: int, one, id_col: str, singles: bool):
+    def scored(chunk: str, replies: list[tuple[str, bytes]]) -> pa.RecordBatch:
         files, path = common.opened(chunk)
         with files.open_input_stream(path) as source:
             words, tokens, sizes, train, ids, null = unpack(source.read())
-        totals = np.concatenate([unpack(x)[0] for x in replies]).astype(np.float64)
+        totals = np.concatenate([unpack(x)[0] for kind, x in replies if kind == "reply"]).astype(np.float64)
         stops = np.cumsum(sizes, dtype=np.int64)
         is_token = np.ones(len(tokens), dtype=bool)
         is_token[stops - sizes] = False
@@ -299,9 +295,10 @@ def _score(n: int, v: int, slices: int, groups: list[list[int]], one, filters: s
         at = np.flatnonzero(is_token)
         hashed = words[tokens]
         keys = pair_keys(hashed[at - 1], hashed[at])
-        levels = np.zeros(len(at), dtype=np.int8)
-        for group in groups:
-            levels |= load(group).levels(keys)
+        if one is not None:
+            levels = one.value.levels(keys)
+        else:
+            levels = np.concatenate([unpack(x)[0] for kind, x in replies if kind == "levels"])[np.unique(keys, return_inverse=True)[1]]
         before, own = c[at - 1], base[tokens[at]]
         weight = before / (before + BACKOFF)
         seen = np.where(levels > 0, np.minimum(np.ldexp(1.0, levels.astype(np.int32) - (1 if singles else 0)), before), 0.0)
@@ -322,38 +319,40 @@ def _score(n: int, v: int, slices: int, groups: list[list[int]], one, filters: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
-            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for chunk, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if chunk != at:
                     if held:
                         yield scored(at, held)
                     at, held = chunk, []
-                held.append(data)
+                held.append((kind, data))
         if held:
             yield scored(at, held)
 
     return run
 
 
-def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", bits_per_entry: int = BITS_PER_ENTRY, singles: bool = False) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", bits_per_entry: int = BITS_PER_ENTRY, singles: bool = False, slice_text: int | None = None) -> DataFrame:
     """Every row's scores by a model of the rows where held_out is not true: id_col, held_out, n_tokens, n_known,
     train_tokens, base_score and score (log10)."""
     spark = docs.sparkSession
-    folder, slices = common.work_dir(spark, "lm"), max(16, common.shuffle_partitions(spark))
+    folder, tasks = common.work_dir(spark, "lm"), common.shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices = max(16, tasks, -(-size // (slice_text or SLICE_TEXT)))
     # written before it is shuffled: a task that is run again makes chunks of other names, which must not mix with these
-    parts = common.stage(rows.mapInArrow(_tokenize(folder, slices), PARTS), f"{folder}/parts")
-    parts = parts.repartition(slices, "slice", "pairs").sortWithinPartitions("slice", "pairs")
-    sums = common.stage(parts.mapInArrow(_sum_up(bits_per_entry, singles), SUMS), f"{folder}/sums")
-    filters = f"{folder}/filters"
-    written = common.stage(sums.filter("kind = 'filter'").select("slice", "data", "n"), filters)
-    totals = sums.filter("kind = 'totals'").agg(F.sum("n"), F.sum("v")).first()
-    groups, one = _filter_groups({r.slice: r.n for r in written.select("slice", "n").collect()}), None
-    if len(groups) == 1:  # BROADCAST bytes at most
-        one = spark.sparkContext.broadcast({r.slice: bytes(r.data) for r in written.select("slice", "data").collect()})
-    replies = sums.filter("kind = 'reply'").select("chunk", "slice", "data")
-    replies = replies.repartition(max(1, common.shuffle_partitions(spark)), "chunk").sortWithinPartitions("chunk", "slice").select("chunk", "data")
+    parts = common.stage(common.spread(rows).mapInArrow(_tokenize(folder, slices, singles), PARTS), f"{folder}/parts")
+    entries, chunks = parts.agg(F.sum("entries"), F.count_distinct("chunk")).first()
+    reply = (entries or 0) * bits_per_entry // 8 + 8 * slices > BROADCAST
+    parts = parts.select("slice", "pairs", "chunk", "data").repartition(slices, "slice", "pairs").sortWithinPartitions("slice", "pairs")
+    sums = common.stage(parts.mapInArrow(_sum_up(bits_per_entry, singles, slices, reply), SUMS), f"{folder}/sums")
+    totals, one = sums.filter("kind = 'totals'").agg(F.sum("n"), F.sum("v")).first(), None
+    if not reply:  # BROADCAST bytes at most
+        found = sums.filter("kind = 'filter'").select("slice", "data").collect()
+        one = spark.sparkContext.broadcast(Filters({r.slice: bytes(r.data) for r in found}, slices))
+    replies = sums.filter("kind IN ('reply', 'levels')").select("chunk", "kind", "slice", "data")
+    replies = replies.repartition(max(tasks, chunks), "chunk").sortWithinPartitions("chunk", "kind", "slice").select("chunk", "kind", "data")
     out = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return replies.mapInArrow(_score(totals[0] or 0, totals[1] or 0, slices, groups, one, filters, id_col, singles), out)
+    return replies.mapInArrow(_score(totals[0] or 0, totals[1] or 0, one, id_col, singles), out)
 
 
 def op7_lm_score(spark, sf_dir: str) -> DataFrame:

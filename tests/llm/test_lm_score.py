@@ -16,7 +16,7 @@ def tokens(text):
     return [*(text or "").encode().lower().split(), "end"]
 
 
-def brute(rows, held):
+def brute(rows, held, singles=False):
     uni, bi, hist = Counter(), Counter(), Counter()
     for i, t in rows:
         if not held(i):
@@ -32,7 +32,7 @@ def brute(rows, held):
             p = (uni[w] + 1) / (n + v + 1)
             b = hist[h] / (hist[h] + lm_score.BACKOFF)
             c = bi[h, w]
-            seen = min(2 ** int(math.log2(c)), hist[h]) if c >= 2 else 0
+            seen = min(2 ** int(math.log2(c)), hist[h]) if c >= (1 if singles else 2) else 0
             base += math.log10(p)
             score += math.log10((1 - b) * p + b * (seen / hist[h] if hist[h] else 0))
         out.append((i, held(i), len(own), sum(uni[w] > 0 for w in own), n, base, score))
@@ -79,3 +79,18 @@ def test_filter_answers():
     want = np.where(counts > 1, np.floor(np.log2(counts)), 0)
     assert (own.levels(keys) >= want).all() and (own.levels(keys) == want).mean() > 0.95
     assert (own.levels(rng.integers(0, 1 << 48, 20000, dtype=np.uint64)) > 0).mean() < 0.02
+
+
+@pytest.mark.parametrize("broadcast", [32 << 20, 0])
+def test_query_with_production_parameters(spark, tmp_path, monkeypatch, broadcast):
+    """Base columns exactly; scores but for the few pairs that the filter holds by chance."""
+    monkeypatch.setattr(lm_score, "BROADCAST", broadcast)
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(rng.choice(words[: rng.choice([5, 50, 300])]) for _ in range(rng.randint(0, 40)))) for k in range(300)] + [(None, "w1 w2"), (7, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in lm_score.op7_lm_score(spark, str(tmp_path)).collect()), key=lambda r: (str(r[0]), r[5]))
+    want = brute(rows, is_held, singles=True)
+    assert [r[:5] for r in got] == [r[:5] for r in want] and np.allclose([r[5] for r in got], [r[5] for r in want], rtol=1e-9)
+    off = np.array([a[6] - b[6] for a, b in zip(got, want, strict=True)])
+    assert (off > -1e-9).all() and (abs(off) < 1e-9).mean() > 0.6 and off.max() < 3
