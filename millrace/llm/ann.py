@@ -1,20 +1,23 @@
 """Approximate nearest neighbours by learned partitions.
 
-1. A bounded sample of the vectors (SAMPLE, by a hash of their ids) gets its exact neighbour graph on the driver. The
-   graph is cut into parts of nearly equal size: halves along principal directions, then moves of single vertices to the
-   part of most of their neighbours, as long as no part grows over 1 + SLACK of the mean.
+1. The number of parts grows with the table, a part for each PART_ROWS rows, up to MOST_PARTS. A bounded sample of the
+   vectors (SAMPLE for each part, by a hash of their ids) gets its exact neighbour graph on the driver. The graph is cut
+   into parts of nearly equal size: halves along principal directions, then moves of single vertices to the part of most
+   of their neighbours, as long as no part grows over 1 + SLACK of the mean.
 2. A small network learns from each vector of the sample how its neighbours are spread over the parts.
-3. All rows are indexed: each goes to its most probable part. Queries go to as many of their most probable parts as
-   held RECALL of the nearest neighbours of a tenth of the sample, which the network has not seen: few where the
-   vectors have structure, most of them where they are noise.
-4. A part is cut into blocks of rows and its queries into blocks of queries; a task meets one block with one block, so
-   what it holds is bounded, and a part with a third of all rows is just more blocks. Of a block's equal vectors only
-   the k + 1 smallest ids can be among the nearest. Cosines are of the original vectors, in double precision.
-
-Defined cases: vectors that are null, zero, hold null or non-finite components, or have another length than most of the
-sample take no part, nor do rows without an id; a query whose vector takes no part has no rows, and repeated query ids
-are one query (the smallest vector); a row that is repeated is a candidate each time, but rows with the query's own id
-never are; ties go to the smaller id; with fewer than k candidates found all are given; an empty table gives no rows.
+3. All rows are indexed: each goes to its most probable part, which is written in files of about ROWS rows. Queries go to as
+   many of their most probable parts as held RECALL of the nearest neighbours of a tenth of the sample, which the network
+   has not seen: few where the vectors have structure, most of them where they are noise.
+4. A task takes a block of queries of one part and reads the part's files, one after another, keeping the k best rows so
+   far. Rows are shuffled once, into their part; queries once for each part that they visit; a part or a set of queries
+   with a third of all rows is just more files or blocks. Of a file's equal vectors only the smallest ids can be among
+   the nearest. Cosines are of the original vectors, in double precision.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an
+id; vectors of another length than most of the sample are a part of their own for each length, as a cosine is between
+equal lengths; a query whose vector takes no part has no rows, and repeated query ids are one query (the smallest
+vector); a row that is repeated is a candidate each time, but rows with the query's own id never are; ties go to the
+smaller id; with fewer than k candidates found all are given; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,13 +28,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import common
 
-SAMPLE, PARTS, NEIGHBOURS, RECALL, SLACK = 6144, 16, 16, 0.95, 0.1
+SAMPLE, PART_ROWS, LEAST_PARTS, MOST_PARTS = 384, 16384, 16, 256
+NEIGHBOURS, RECALL, SLACK = 16, 0.95, 0.1
 ROWS, QUERIES = 16384, 4096
+#: Numbers of the parts of other lengths begin here.
+OTHER = 1 << 20
+
+
+def parts_for(n: int) -> int:
+    """A power of two."""
+    return min(MOST_PARTS, max(LEAST_PARTS, 1 << max(0, (n // PART_ROWS).bit_length() - 1)))
+
 
 # ------------------------------------------------------------------------------------------------------------ learning
 
@@ -42,9 +55,9 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """(rows, k): the nearest other rows, by cosine of unit vectors."""
-    out = []
-    for a in range(0, len(x), 1024):
-        near = x[a : a + 1024] @ x.T
+    out, block = [], max(16, (1 << 23) // len(x))
+    for a in range(0, len(x), block):
+        near = x[a : a + block] @ x.T
         near[np.arange(len(near)), a + np.arange(len(near))] = -2
         out.append(np.argpartition(-near, k - 1, axis=1)[:, :k])
     return np.concatenate(out)
@@ -117,7 +130,7 @@ def probes_for(router: Router, vectors: np.ndarray, held: np.ndarray, k: int, re
     return int(np.searchsorted(np.cumsum(np.bincount(at.ravel(), minlength=parts)) / at.size, recall)) + 1
 
 
-def learn(vectors: np.ndarray, parts: int = PARTS, neighbours: int = NEIGHBOURS, hidden: int = 128, steps: int = 250, seed: int = 3) -> Router:
+def learn(vectors: np.ndarray, parts: int = LEAST_PARTS, neighbours: int = NEIGHBOURS, hidden: int = 128, steps: int = 250, seed: int = 3) -> Router:
     """A router for distinct vectors."""
     x = unit(np.unique(vectors, axis=0))
     rng = np.random.default_rng(seed)
@@ -127,8 +140,9 @@ def learn(vectors: np.ndarray, parts: int = PARTS, neighbours: int = NEIGHBOURS,
     if parts > 1:
         graph = neighbour_graph(x, min(neighbours, len(x) - 1))
         part = balanced_cut(x, graph, parts)
-        goal = np.eye(parts)[part] + np.eye(parts)[part[graph]].mean(axis=1)
-        goal /= 2
+        goal = np.zeros((len(x), parts), dtype=np.float32)
+        np.add.at(goal, (np.arange(len(x)), part), 0.5)
+        np.add.at(goal, (np.arange(len(x))[:, None], part[graph]), 0.5 / graph.shape[1])
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net]
         for t in range(1, steps + 1):
             own = rng.integers(0, len(x), 1024)
@@ -183,6 +197,15 @@ def nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of each query among what some searches have found."""
+    query, ids, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    top = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[top], ids[top], scores[top]
+
+
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, size)
 
@@ -193,15 +216,69 @@ def _routed(rows: DataFrame, router: Router, probes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.rows_of(batches):
-            if not batch.num_rows:
-                continue
-            parts = net.value.probes(unit(_matrix(batch.column(1), net.value.size)), probes)
-            own = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), parts.shape[1])))
-            yield pa.RecordBatch.from_arrays([pa.array(parts.ravel().astype(np.int32)), *own.columns], names=["part", "id", "vector"])
+            lengths = pc.list_value_length(batch.column(1)).to_numpy()
+            usual = np.flatnonzero(lengths == net.value.size)
+            other = np.flatnonzero(lengths != net.value.size)
+            at, parts = other, OTHER + lengths[other].astype(np.int64)
+            if len(usual):
+                found = net.value.probes(unit(_matrix(batch.column(1).take(pa.array(usual)), net.value.size)), probes)
+                at, parts = np.concatenate([np.repeat(usual, found.shape[1]), at]), np.concatenate([found.ravel(), parts])
+            own = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), *own.columns], names=["part", "id", "vector"])
 
     return rows.mapInArrow(run, "part int, id long, vector array<double>")
 
 
+def _in_blocks(df: DataFrame, most: int, folder: str) -> tuple[DataFrame, int]:
+    """df with block: its rows of a part in blocks of about most; and the number of blocks."""
+    df = common.stage(df, folder)
+    found = [(r.part, math.ceil(r["count"] / most)) for r in df.groupBy("part").count().collect()]  # a row for each part
+    plan = df.sparkSession.createDataFrame(found, "part int, blocks int")
+    row = F.xxhash64("id", F.monotonically_increasing_id())  # rows that repeat one are dealt out too
+    df = df.withColumn("row", row).join(F.broadcast(plan), "part").withColumn("block", F.pmod("row", F.col("blocks")).cast("int"))
+    return df.select("part", "block", "id", "vector"), sum(n for _, n in found)
+
+
+def _searcher(files, k: int, size: int, id_col: str):
+    """Rows (part, block, id, vector) of queries, sorted by the first two: the nearest rows in the files of their part."""
+    import pyarrow.parquet as pq
+
+    def blocks(part: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        width = part - OTHER if part >= OTHER else size
+        for uri in files.value.get(part, ()):
+            system, path = common.opened(uri)
+            with system.open_input_file(path) as source:
+                for batch in pq.ParquetFile(source).iter_batches(ROWS, columns=["id", "vector"]):
+                    if batch.num_rows:
+                        yield batch.column(0).to_numpy(), _matrix(batch.column(1), width)
+
+    def searched(part: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids = np.concatenate([b.column(2).to_numpy() for b in held])
+        queries = np.concatenate([_matrix(b.column(3), part - OTHER if part >= OTHER else size) for b in held])
+        found = [tuple(np.array([], dtype=t) for t in (np.int64, np.int64, np.float64))]
+        for other, vectors in blocks(part):
+            found = [best([*found, nearest(ids, queries, other, vectors, k)], k)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found[0]], names=["query_id", id_col, "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            part, block = (batch.column(c).to_numpy() for c in (0, 1))
+            cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(block) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                if at != (part[a], block[a]):
+                    if held:
+                        yield searched(int(at[0]), held)
+                    at, held = (part[a], block[a]), []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield searched(int(at[0]), held)
+
+    return run
+
+
 def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, vector) of the rows that take part, whatever their lengths."""
     vector = F.col(vector_col).cast("array<double>")
@@ -210,52 +287,36 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(fine & F.exists("vector", lambda x: x != 0))
 
 
-def search(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, parts: int = PARTS, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
+def search(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, parts: int | None = None, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, id_col, score): the k nearest rows found for each row where is_query, an expression of the
     column id, holds."""
     spark = table.sparkSession
-    rows = usable(table, id_col, vector_col)
-    folder = common.work_dir(spark, "ann")
-    rows = common.stage(rows, f"{folder}/rows")
+    folder, tasks = common.work_dir(spark, "ann"), common.shuffle_partitions(spark)
+    rows = common.stage(usable(table, id_col, vector_col), f"{folder}/rows")
     n = rows.count()
+    parts = parts or parts_for(n)
+    sample = SAMPLE * parts
     draw = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 40))
-    drawn = rows.filter(draw < min(1 << 40, (sample << 40) // max(n, 1))).limit(2 * sample).collect()
-    out = f"query_id long, `{id_col}` long, score double"
-    if not drawn:
-        drawn = rows.limit(1).collect()
+    drawn = rows.filter(draw < min(1 << 40, (sample << 40) // max(n, 1))).limit(2 * sample).collect() or rows.limit(1).collect()
     if not drawn:
         return spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
-    lengths = np.bincount([len(r.vector) for r in drawn])
-    size = int(lengths.argmax())
-    drawn.sort(key=lambda r: (r.id, r.vector))
+    size = int(np.bincount([len(r.vector) for r in drawn]).argmax())
     known = np.unique(np.array([r.vector for r in drawn if len(r.vector) == size]), axis=0)
     held = np.arange(0, len(known), 10)
     router = learn(np.delete(known, held, axis=0) if len(known) > 500 else known, parts)
     probes = probes_for(router, known, held, k, recall)
-    rows = rows.filter(F.size("vector") == size)
-    index = common.stage(_routed(rows, router, 1), f"{folder}/index")
+
+    index, blocks = _in_blocks(_routed(rows, router, 1), ROWS, f"{folder}/routed")
+    index.repartition(blocks, "part", "block").drop("block").write.partitionBy("part").parquet(f"{folder}/index")
+    files: dict[int, list[str]] = {}
+    for uri in spark.read.parquet(f"{folder}/index").inputFiles():  # those of the committed write, about one a block
+        files.setdefault(int(uri.rsplit("/part=", 1)[1].split("/")[0]), []).append(uri)
     queries = rows.filter(is_query).groupBy("id").agg(F.min("vector").alias("vector"))
-    asked = common.stage(_routed(queries, router, probes), f"{folder}/queries")
-    blocks = lambda df, most: {r.part: math.ceil(r["count"] / most) for r in df.groupBy("part").count().collect()}
-    row_blocks, query_blocks = blocks(index, ROWS), blocks(asked, QUERIES)
-    met = sorted(set(row_blocks) & set(query_blocks))
-    plan = spark.createDataFrame([(p, row_blocks[p], query_blocks[p]) for p in met], "part int, rows int, queries int")
-
-    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
-        df = df.join(F.broadcast(plan), "part")  # one row for each part
-        df = df.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col(own)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        return df.select("part", F.col("own").alias(own), F.col("other").alias(other), "id", "vector")
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", id_col, "score"]
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=names)
-        a, b = left.combine_chunks(), right.combine_chunks()
-        found = nearest(*(x for t in (b, a) for x in (t.column("id").to_numpy(), _matrix(t.column("vector").combine_chunks(), size))), k)
-        return pa.table([pa.array(x) for x in found], names=names)
-
-    keys = ("part", "rows", "queries")
-    found = dealt(index, "rows", "queries").groupBy(*keys).cogroup(dealt(asked, "queries", "rows").groupBy(*keys)).applyInArrow(meet, out)
+    asked = common.stage(_routed(queries, router, probes), f"{folder}/asked")
+    most = min(QUERIES, max(256, asked.count() // (4 * tasks)))  # a block for each core, if there are enough queries
+    asked, blocks = _in_blocks(asked, most, f"{folder}/queries")
+    asked = asked.repartition(max(tasks, blocks), "part", "block").sortWithinPartitions("part", "block")
+    found = asked.mapInArrow(_searcher(spark.sparkContext.broadcast(files), k, size, id_col), f"query_id long, `{id_col}` long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col)))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
 

@@ -5,21 +5,26 @@ double-array trie over UTF-8 bytes with replacement strings); every normalised b
 its match began, so a piece that covers normalised bytes [a, b) covers source bytes [align[a], align[b]). Spans of
 neighbouring pieces therefore meet, and those of a text's pieces cover it.
 
+A model's empty map matches nothing, so each character is its own match; such chunks are aligned many at a time, in arrays.
 The ids are the sentencepiece library's. Where no piece of a BPE model joins a space to what stands before it, and none
 holds a line feed, merges never reach over those places: the ids of a text are those of its chunks in order, and a
-worker asks the library only for chunks that it has not met lately. Other models get whole texts.
+worker normalises, aligns and encodes only chunks that it has not met lately. Other models get whole texts. The model is
+read once, by the driver, and broadcast.
 
 Defined cases: null text counts as empty and gives just the end id (or nothing without one), no spans but an empty one
 at 0 for the end id, and the empty text when decoded. Rows are independent: ties, repeated rows and other columns have
-no influence. Very long texts are encoded whole.
+no influence. Very long texts are encoded
+piece by piece where that gives the same ids, and whole otherwise.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from collections.abc import Iterator
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -127,6 +132,19 @@ class Normalizer:
         align.append(at)
         return bytes(out), align
 
+    def chunks(self, chunks: list[bytes], head: bool) -> np.ndarray:
+        """The alignment of chunks that follow each other, for an empty map without squeezing: of each normalised byte, and of
+        the end, the place in all chunks together. head: each chunk begins a text, with a space before it that is not in
+        the source."""
+        raw = np.frombuffer(b"".join([b" " + c for c in chunks] if head else chunks), dtype=np.uint8)
+        real = np.ones(len(raw), dtype=bool)
+        if head:
+            real[np.cumsum([0, *(len(c) + 1 for c in chunks[:-1])])] = False
+        place = np.cumsum(real) - real
+        begins = np.maximum.accumulate(np.where((raw & 0xC0) != 0x80, np.arange(len(raw)), 0))  # of the characters
+        space = len(SPACE.encode()) if self.escape else 1
+        return np.append(np.repeat(place[begins], np.where(raw == 0x20, space, 1)), real.sum())
+
 
 # ----------------------------------------------------------------------------------------------------------- encoding
 
@@ -139,19 +157,19 @@ class PieceEncoder:
     CUT = re.compile(f"[^ {SPACE}] ")
     CHUNK = re.compile(f"\n|[ {SPACE}]+[^ {SPACE}\n]*|[^ {SPACE}\n]+")
 
-    def __init__(self, path: str):
+    def __init__(self, given: str | bytes):
+        """given: a model file's path, or its bytes."""
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
-        with open(path, "rb") as file:
-            model.ParseFromString(file.read())
+        model.ParseFromString(given if isinstance(given, bytes) else Path(given).read_bytes())
         self.normalize = Normalizer(model.normalizer_spec, model.trainer_spec.treat_whitespace_as_suffix)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         self.end_id = self.library.eos_id()
         kinds = model.SentencePiece.Type if hasattr(model, "SentencePiece") else pb.ModelProto.SentencePiece
         self.is_byte = np.array([p.type == kinds.BYTE for p in model.pieces])
-        self.source_length = np.array([1 if p.type == kinds.BYTE else len(p.piece.encode()) - 2 * p.piece.count(SPACE) for p in model.pieces], dtype=np.int32)
+        self.normal_length = np.array([1 if p.type == kinds.BYTE else len(p.piece.encode()) for p in model.pieces], dtype=np.int64)
         spec, plain = model.normalizer_spec, (kinds.NORMAL, kinds.BYTE, kinds.UNKNOWN, kinds.CONTROL)
         self.by_chunk = (
             model.trainer_spec.model_type == pb.TrainerSpec.BPE
@@ -191,39 +209,13 @@ class PieceEncoder:
             return {}
         found = self.inner.encode([f" {c}" for c in chunks] if head else chunks, num_threads=1)
         ids = np.fromiter(chain.from_iterable(found), dtype=np.int32)
-        lengths, stops = self.source_length[ids], np.cumsum([0, *map(len, found)])
-        if head:
-            lengths[stops[:-1]] -= 1  # the space before the text is not in the source
-        raw, sizes, stops = ids.tobytes(), lengths.tobytes(), (4 * stops).tolist()
-        out = {c: (raw[a:b], sizes[a:b]) for c, a, b in zip(chunks, stops, stops[1:], strict=False)}
-        odd = {c for c in chunks if SPACE in c}
-        if self.is_byte[ids].any():
-            odd.update(c for c, each in zip(chunks, found, strict=True) if c != "\n" and self.is_byte[each].any())
-        for chunk in odd:
-            own = np.frombuffer(out[chunk][0], dtype=np.int32)
-            out[chunk] = (out[chunk][0], self._lengths(chunk, own, head).tobytes())
-        return out
-
-    def _lengths(self, chunk: str, ids: np.ndarray, head: bool) -> np.ndarray:
-        """Source lengths where a piece is not as long as its source: bytes of characters, literal space signs."""
-        places = [0] * 3 if head else []
-        at = 0
-        for c in chunk:
-            places += [at] * (3 if c == " " else len(c.encode()))
-            at += len(c.encode())
-        places.append(at)
-        normal = ((SPACE if head else "") + chunk.replace(" ", SPACE)).encode()
-        cuts, at, k = [0], 0, 0
-        while k < len(ids):
-            if self.is_byte[ids[k]]:
-                first = normal[at]
-                n = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
-                cuts += [places[at]] * (n - 1)
-                at, k = at + n, k + n
-            else:
-                at, k = at + len(self.inner.id_to_piece(int(ids[k])).encode()), k + 1
-            cuts.append(places[at])
-        return np.diff(np.array(cuts, dtype=np.int32)).astype(np.int32)
+        align = self.normalize.chunks([c.encode() for c in chunks], head)
+        cuts = np.cumsum(np.concatenate([[0], self.normal_length[ids]]))
+        if cuts[-1] != len(align) - 1:
+            raise ValueError("the pieces are not those of the normalised chunks")
+        lengths = np.diff(align[cuts]).astype(np.int32)
+        raw, sizes, stops = ids.tobytes(), lengths.tobytes(), (4 * np.cumsum([0, *map(len, found)])).tolist()
+        return {c: (raw[a:b], sizes[a:b]) for c, a, b in zip(chunks, stops, stops[1:], strict=False)}
 
     def _learn(self, split: list[list[str]], head: bool = True) -> None:
         """Makes the chunks of texts known; the first of each begins a text, with head."""
@@ -279,14 +271,15 @@ class PieceEncoder:
         return flat, (ends - size).astype(np.int32), ends.astype(np.int32), stops
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[bytes, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(model: bytes) -> PieceEncoder:
     """One for each model and worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    name = hashlib.sha256(model).digest()
+    if name not in _ENCODERS:
+        _ENCODERS[name] = PieceEncoder(model)
+    return _ENCODERS[name]
 
 
 # ---------------------------------------------------------------------------------------------------------- operators
@@ -294,10 +287,11 @@ def encoder(path: str) -> PieceEncoder:
 
 def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", end: bool = True, decoded: bool = False) -> DataFrame:
     """id_col, ids, begins and ends (byte spans of the pieces in the text's UTF-8); with decoded also the text that the
-    library makes of the ids. The end id's span is empty."""
+    library makes of the ids. The end id's span is empty. model: a model file's path, for the driver."""
+    sent = docs.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(model)
+        own = encoder(sent.value)
         for batch in common.rows_of(batches, 256):
             ids, begins, ends, stops = own(common.texts(batch.column(1)), end)
             stops32 = pa.array(stops.astype(np.int32))
@@ -308,32 +302,34 @@ def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    rows = common.spread(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")))
     kind = rows.schema[0].dataType.simpleString()
     return rows.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, begins array<int>, ends array<int>" + ", decoded string" * decoded)
 
 
 def decode(rows: DataFrame, model: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds the text of every id list; a null list gives the empty text."""
+    sent = rows.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
 
     @F.pandas_udf("string")
     def text_of(lists):
         import pandas as pd
 
-        library = encoder(model).library
+        library = encoder(sent.value).library
         return pd.Series(library.decode([[] if x is None else [int(i) for i in x] for x in lists], num_threads=1), dtype=object)
 
     return rows.withColumn(out_col, text_of(F.col(ids_col)))
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Digest columns of encode(..., decoded=True)."""
+    """Digest columns of encode(..., decoded=True), and the spans."""
     return encoded.select(
         F.col(id_col),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-        F.element_at("ends", -1).alias("n_source_bytes"),
+        "begins",
+        "ends",
     )
 
 

@@ -16,11 +16,13 @@ are all kept, ordered by the hash of their text; an empty table gives no file an
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
 import struct
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from millrace.llm import common
 MAGIC = b"MRPLANE1"
 ID_BYTES = 4
 
-SHARDS = "shard string, first_id long, has_null boolean, order_key long, n_docs long, n_ids long"
+SHARDS = "shard string, first_id long, has_null boolean, order_key long, row_key long, n_docs long, n_ids long"
 
 
 # ------------------------------------------------------------------------------------------------------- file format
@@ -149,7 +151,7 @@ class PlaneReader:
 
 # ---------------------------------------------------------------------------------------------------------- encoding
 
-_ENCODERS: dict[str, WordCacheEncoder] = {}
+_ENCODERS: dict[bytes, WordCacheEncoder] = {}
 #: Words of up to this many bytes are compared as they are; longer ones by a 128-bit hash.
 SHORT = 24
 _WHITE = np.zeros(256, dtype=bool)
@@ -242,13 +244,13 @@ class WordCacheEncoder:
     SPACE = re.compile(r"[\x20\x09-\x0D]")
     LETTERS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]?)")
 
-    def __init__(self, path: str):
+    def __init__(self, given: str | bytes):
+        """given: a tokenizers file's path, or its bytes."""
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+        text = (given if isinstance(given, bytes) else Path(given).read_bytes()).decode()
+        self.library, spec = Tokenizer.from_str(text), json.loads(text)
         self.added = [token["content"] for token in spec.get("added_tokens") or []]
         self.added_bytes = [token.lower().encode() for token in self.added]
         self.by_word = self._word_local(spec)
@@ -348,10 +350,6 @@ class WordCacheEncoder:
         stops = total[np.searchsorted(words.starts, places)].tolist()
         return [ids[a:b].tobytes() for a, b in zip(stops, stops[1:], strict=False)]
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
     def _cut(self, text: str) -> list[str]:
         """Pieces of a long text that end before white space; the text itself if an added token may be in it."""
         if any(token in text.encode().lower() for token in self.added_bytes):
@@ -393,35 +391,36 @@ class WordCacheEncoder:
         return out
 
 
-def encoder(path: str) -> WordCacheEncoder:
+def encoder(file: bytes) -> WordCacheEncoder:
     """One for each file and worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordCacheEncoder(path)
-    return _ENCODERS[path]
+    name = hashlib.sha256(file).digest()
+    if name not in _ENCODERS:
+        _ENCODERS[name] = WordCacheEncoder(file)
+    return _ENCODERS[name]
 
 
 # ---------------------------------------------------------------------------------------------------------- operators
 
 
-def _writer(folder: str, tokenizer: str, end_id: int, kind: str, block_ids: int, level: int) -> Callable:
+def _writer(folder: str, sent, end_id: int, kind: str, block_ids: int, level: int) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, sink, out, first = common.new_file(folder, ".planes"), None, None, None
-        encode, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(sent.value), np.array([end_id], dtype="<u4").tobytes()
         for batch in common.rows_of(batches, 1024):
             if out is None:
                 files, path = common.opened(name)
                 sink = files.open_output_stream(path)
                 out = PlaneWriter(sink, kind, block_ids, level)
-                first = (batch.column(0)[0].as_py(), batch.column(2)[0].as_py())
+                first = [batch.column(c)[0].as_py() for c in (0, 2, 3)]
             ids = encode(common.texts(batch.column(1)))
             for doc_id, found in zip(batch.column(0).to_pylist(), ids, strict=True):
                 out.add(doc_id, found + end)
         if out is not None:
             out.close()
             sink.close()
-            row = [[name], [first[0]], [first[0] is None], [first[1]], [len(out.docs)], [out.n_ids]]
-            types = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
-            names = ["shard", "first_id", "has_null", "order_key", "n_docs", "n_ids"]
+            row = [[name], [first[0]], [first[0] is None], [first[1]], [first[2]], [len(out.docs)], [out.n_ids]]
+            types = [pa.string(), pa.int64(), pa.bool_(), *[pa.int64()] * 4]
+            names = ["shard", "first_id", "has_null", "order_key", "row_key", "n_docs", "n_ids"]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names=names)
 
     return write
@@ -430,15 +429,16 @@ def _writer(folder: str, tokenizer: str, end_id: int, kind: str, block_ids: int,
 def write_planes(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, kind: str = "byte", block_ids: int = 1 << 16, level: int = 3) -> DataFrame:
     """Encodes whole texts and writes their ids in ascending order of id_col; returns the shard table, in no order.
 
-    The rows are dealt out by range of (id, hash of the text), so no id, however often it occurs, fills a task.
-    Columns: shard (file), first_id, has_null, order_key (order the shards by first_id, nulls first, then order_key),
-    n_docs, n_ids.
+    The rows are dealt out by range of (id, hash of the text, hash of the row's place), so no id, however often it or a whole
+    row occurs, fills a task. Columns: shard (file), first_id, has_null, order_key, row_key (order the shards by first_id,
+    nulls first, then order_key, then row_key), n_docs, n_ids.
     """
     spark = docs.sparkSession
-    order = [F.col("id").asc_nulls_first(), F.col("order_key").asc()]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("order_key"))
+    order = [F.col("id").asc_nulls_first(), F.col("order_key").asc(), F.col("row_key").asc()]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col)).alias("order_key"), F.xxhash64(F.monotonically_increasing_id()).alias("row_key"))
     rows = rows.repartitionByRange(common.shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    shards = rows.mapInArrow(_writer(folder, tokenizer, end_id, kind, block_ids, level), SHARDS)
+    sent = spark.sparkContext.broadcast(Path(tokenizer).read_bytes())
+    shards = rows.mapInArrow(_writer(folder, sent, end_id, kind, block_ids, level), SHARDS)
     return common.stage(shards, f"{folder}/shards")
 
 
@@ -446,7 +446,7 @@ def read_planes(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Every document of the shards: id_col, start (ids of all documents before it), n_tokens, ids (little-endian
     unsigned 32-bit integers, binary). The shard table has one row a file, so the driver can number the files."""
     spark = shards.sparkSession
-    rows = sorted(shards.collect(), key=lambda r: (not r.has_null, r.first_id or 0, r.order_key))
+    rows = sorted(shards.collect(), key=lambda r: (not r.has_null, r.first_id or 0, r.order_key, r.row_key))
     starts = np.cumsum([0] + [r.n_ids for r in rows]).tolist()
     plan = spark.createDataFrame([(k, r.shard, starts[k]) for k, r in enumerate(rows)], "k long, shard string, start long")
 

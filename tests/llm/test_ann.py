@@ -84,3 +84,43 @@ def test_balance():
     x = ann.unit(rng.normal(size=(800, 16)))
     part = ann.balanced_cut(x, ann.neighbour_graph(x, 10), 8)
     assert np.bincount(part, minlength=8).max() <= 110 and np.bincount(part, minlength=8).min() >= 90
+
+
+def test_parts_grow_with_the_table():
+    assert [ann.parts_for(n) for n in (0, 1, 1 << 18, 1 << 20, 1 << 40)] == [16, 16, 16, 64, 256]
+
+
+@pytest.mark.parametrize("kind", ["noise", "clusters"])
+def test_recall_of_the_whole(spark, kind, monkeypatch, tmp_path):
+    """End to end, on rows that the network has not seen, with more parts than the least."""
+    monkeypatch.setattr(ann, "PART_ROWS", 150)
+    monkeypatch.setattr(ann, "SAMPLE", 48)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 16))
+    if kind == "clusters":
+        x += 5 * rng.normal(size=(60, 16))[rng.integers(0, 60, 6000)]
+    x = x.astype(np.float32)
+    assert ann.parts_for(6000) == 32
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for r in ann.op4_learned_partitions(spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = (r["rank"], r.score)
+    y = ann.unit(x.astype(np.float64))
+    hits = []
+    for q in range(0, 6000, 50):
+        cos = y @ y[q]
+        cos[q] = -2
+        want = np.argsort(-cos, kind="stable")[:5]
+        hits += [int(j) in got[q] for j in want]
+        assert len(got[q]) == 5 and sorted(r for r, _ in got[q].values()) == [1, 2, 3, 4, 5]
+        assert all(abs(s - cos[j]) < 1e-9 for j, (_, s) in got[q].items())
+    assert np.mean(hits) >= 0.9 and len(got) == 120
+
+
+def test_rows_and_files_stay_linear(spark, monkeypatch):
+    """A third of all rows is one row: it is dealt over blocks, and each row is written once."""
+    monkeypatch.setattr(ann, "ROWS", 50)
+    rows = [(7, [1.0, 0.0, 0.0, 0.0])] * 300 + [(k, [float(k), 1.0, 0.0, 0.5]) for k in range(8, 300)]
+    got, want = found(spark, rows, step=50), brute(rows, 5, 50)
+    assert got.keys() == want.keys() and all(len(x) == 5 for x in got.values())
+    assert np.mean([i in [j for j, _ in got[q]] for q in want for i, _ in want[q]]) > 0.9

@@ -34,8 +34,8 @@ def test_ids_and_spans(text):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n▁ab.1é日🙂"), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_any_text(text):
-    own = pieces.encoder(MODEL)
-    assert [x[0] for x in ours(own, text)] == LIBRARY.encode(text)
+    own = pieces.encoder(open(MODEL, "rb").read())
+    assert ours(own, text) == spans(LIBRARY, text)
     ids, begins, ends, _ = own([text], end=False)
     assert (begins <= ends).all() and (begins[1:] == ends[:-1]).all()
     assert not len(ids) or (begins[0], ends[-1]) == (0, len(text.encode()))
@@ -103,15 +103,20 @@ def test_character_map(tmp_path, squeeze):
         assert ours(own, text) == spans(library, text), repr(text)
 
 
-def test_query_columns(spark, docs_of):
-    rows = [(1, None), (2, ""), (2, ""), (None, "no id"), (4, "hello\nworld " * 2000)]
-    got = pieces.digests(pieces.encode(docs_of(rows), MODEL, decoded=True)).collect()
+def test_query(spark, tmp_path):
+    rows = [(1, None), (2, ""), (2, ""), (None, "no id"), (4, "hello\nworld " * 2000), *((10 + k, t) for k, t in enumerate(TEXTS) if "\0" not in t)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = pieces.op1_sentencepiece(spark, str(tmp_path)).collect()
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     want = []
     for doc_id, text in rows:
-        ids = [*LIBRARY.encode(text or ""), 2]
-        want.append((doc_id, len(ids), sha(" ".join(map(str, ids))), sha(LIBRARY.decode(ids)), len((text or "").encode())))
+        own = spans(LIBRARY, text or "")
+        ids, end = [*(x[0] for x in own), 2], len((text or "").encode())
+        want.append((doc_id, len(ids), sha(" ".join(map(str, ids))), sha(LIBRARY.decode(ids)), [*(x[1] for x in own), end], [*(x[2] for x in own), end]))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_empty(spark, docs_of):
     assert pieces.encode(docs_of([]), MODEL).count() == 0
 
 

@@ -57,7 +57,7 @@ LETTERS = st.one_of(st.sampled_from(list(" \n\t.,'sS<|>aAbé É×÷ÿ0́️ßΣ
 @settings(max_examples=400, deadline=None)
 @given(st.text(LETTERS, max_size=40))
 def test_ids(text):
-    own = token_planes.encoder(WORDS)
+    own = token_planes.encoder(open(WORDS, "rb").read())
     assert own.by_word
     assert np.frombuffer(own([text])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
@@ -129,3 +129,15 @@ def test_operator(spark, docs_of, kind):
 def test_empty_table(spark, docs_of):
     shards = token_planes.write_planes(docs_of([]), common.work_dir(spark, "test"), WORDS)
     assert token_planes.read_planes(shards).count() == 0
+
+
+def test_query(spark, tmp_path):
+    rows = [(k % 23, f"text {k % 7}, é " * (k % 5)) for k in range(90)] + [(4, "the same row")] * 60 + [(None, None), (50, "x\ny " * 3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = token_planes.op8_token_planes(spark, str(tmp_path)).orderBy("start").collect()
+    at, before = 0, -1
+    for r in got:
+        assert r.start == at and (-1 if r.doc_id is None else r.doc_id) >= before
+        at, before = at + r.n_tokens, -1 if r.doc_id is None else r.doc_id
+    ids = [np.array([*library_ids(WORDS, t or ""), 2], "<u4") for _, t in rows]
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=str) == sorted(((i, len(x), zlib.crc32(x.tobytes())) for (i, _), x in zip(rows, ids, strict=True)), key=str)
