@@ -285,9 +285,10 @@ def encoder(model: bytes) -> PieceEncoder:
 # ---------------------------------------------------------------------------------------------------------- operators
 
 
-def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", end: bool = True, decoded: bool = False) -> DataFrame:
-    """id_col, ids, begins and ends (byte spans of the pieces in the text's UTF-8); with decoded also the text that the
-    library makes of the ids. The end id's span is empty. model: a model file's path, for the driver."""
+def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", end: bool = True, decoded: bool = False, packed: bool = False) -> DataFrame:
+    """id_col, ids, begins and ends (byte spans of the pieces in the text's UTF-8; with packed one column spans instead, the
+    begin and end of each piece as little-endian 32-bit numbers); with decoded also the text that the library makes of the
+    ids. The end id's span is empty. model: a model file's path, for the driver."""
     sent = docs.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,8 +296,14 @@ def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str
         for batch in common.rows_of(batches, 256):
             ids, begins, ends, stops = own(common.texts(batch.column(1)), end)
             stops32 = pa.array(stops.astype(np.int32))
-            columns = [batch.column(0)] + [pa.ListArray.from_arrays(stops32, pa.array(x)) for x in (ids, begins, ends)]
-            names = [id_col, "ids", "begins", "ends"]
+            columns, names = [batch.column(0), pa.ListArray.from_arrays(stops32, pa.array(ids))], [id_col, "ids"]
+            if packed:
+                raw, at = np.stack([begins, ends], axis=1).astype("<i4").tobytes(), (8 * stops).tolist()
+                columns.append(pa.array([raw[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary()))
+                names.append("spans")
+            else:
+                columns += [pa.ListArray.from_arrays(stops32, pa.array(x)) for x in (begins, ends)]
+                names += ["begins", "ends"]
             if decoded:
                 columns.append(pa.array(own.library.decode([ids[a:b].tolist() for a, b in zip(stops, stops[1:], strict=False)], num_threads=1), pa.string()))
                 names.append("decoded")
@@ -304,7 +311,8 @@ def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str
 
     rows = common.spread(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, begins array<int>, ends array<int>" + ", decoded string" * decoded)
+    spans = "spans binary" if packed else "begins array<int>, ends array<int>"
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, {spans}" + ", decoded string" * decoded)
 
 
 def decode(rows: DataFrame, model: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -321,20 +329,18 @@ def decode(rows: DataFrame, model: str, *, ids_col: str = "ids", out_col: str =
     return rows.withColumn(out_col, text_of(F.col(ids_col)))
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Digest columns of encode(..., decoded=True), and the spans."""
-    return encoded.select(
-        F.col(id_col),
+def digests() -> list:
+    """Digest columns of encode(..., decoded=True)."""
+    return [
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-        "begins",
-        "ends",
-    )
+    ]
 
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return digests(encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=True))
+    encoded = encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=True, packed=True)
+    return encoded.select("doc_id", *digests(), F.sha2("spans", 256).alias("spans_sha256"))

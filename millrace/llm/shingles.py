@@ -1,16 +1,23 @@
-"""Near-duplicates by the exact similarity of shingle sets; candidates come from min-wise hashes.
+"""Near-duplicates by the exact similarity of shingle sets, of candidates from SimHash tries and from min-wise hashes.
 
 1. The set of a text: lower-case A-Z, words between ASCII white space, XXH64 of each n-word shingle (fewer words: the
    whole sequence). Texts with one set are one class, of which one row goes on.
-2. A class has BANDS keys, each of the ROWS smallest values of its set under as many hash functions. Two sets of
-   similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS, whatever the size of the table: 0.9996 at 0.8.
-3. Candidates are verified: the similarity |A and B| / |A or B| is counted from the sets. First each class meets one hub of
-   its buckets, then other hubs that are not in its component yet, and at last every pair of a bucket that is still in
-   two components. So what is linked is the closure of all pairs that share a key and have the similarity, and large
-   groups of copies need no more pairs than members.
-
-Defined cases: null text counts as empty; the texts without a word are one class; rows with the same id are expected to
-have the same text; an empty table gives no rows; other columns are ignored.
+2. A class has the SimHash fingerprint of its shingles, and BANDS keys, each of the ROWS smallest values of its set under as
+   many hash functions. Two sets of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS, whatever the size of
+   the table: 0.9996 at 0.8.
+3. Candidates are verified: the similarity |A and B| / |A or B| is counted from the sets. First come the links of the
+   fingerprints' trie self-join (within RADIUS bits, millrace.llm.simhash), which join most copies; fingerprints alone
+   would miss many pairs of similarity 0.8, and join some below. Then each class meets one hub of its buckets, and another
+   that is not in its component yet. What is left of a bucket in two components is compared by sketches, the lowest bytes
+   of the smallest values, block by block: only pairs whose sketches agree in SLACK less than the similarity asks for are
+   made, and verified.
+
+So what is linked is the closure of the pairs that share a key and have the similarity; large groups of copies need no more
+pairs than members, and no pair of a bucket is made that does not look similar.
+
+Defined cases: null text counts as empty; the texts without a word are one class; rows that repeat an id and a text have one
+name; null ids take part, and name a component only if all its ids are null; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -21,40 +28,56 @@ from itertools import accumulate, chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common
-from millrace.llm.simhash import _token_blocks, components
+from millrace.llm.simhash import _token_blocks, components, links
 
-BANDS, ROWS, HUBS = 20, 5, 2
+BANDS, ROWS, HUBS, RADIUS = 20, 5, 2, 4
+#: Of a sketch: what chance may take from the share of equal bytes (four deviations at 0.8); members of a block.
+SLACK, BLOCK = 0.16, 2048
+#: Names of rows that are broadcast, at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 _rng = np.random.default_rng(23)
 _XOR, _TIMES = (_rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
 _TIMES |= np.uint64(1)
 
+# ---------------------------------------------------------------------------------------------------------- of a text
 
-def shingle_set(text: bytes, words: int, seed: int = 42, block: int = 1 << 20) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles, at least one."""
-    hashed, found, tokens = xxhash.xxh64_intdigest, [], []
+
+def shingles(text: bytes, words: int, seed: int = 42, block: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, repeats included, at least one, in blocks."""
+    hashed, none, tokens = xxhash.xxh64_intdigest, True, []
     for tokens in _token_blocks(text, words - 1, block):
         if len(tokens) >= words:
-            joined = b" ".join(tokens)
+            joined, none = b" ".join(tokens), False
             stops = list(accumulate(map(len, tokens), lambda a, b: a + b + 1))
             starts = chain([0], (x + 1 for x in stops))
-            found.append(np.unique(np.array([hashed(joined[a:b], seed) for a, b in zip(starts, stops[words - 1 :], strict=False)], dtype=np.uint64)))
-    if not found:
-        return np.array([hashed(b" ".join(tokens), seed)], dtype=np.uint64)
-    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+            yield np.array([hashed(joined[a:b], seed) for a, b in zip(starts, stops[words - 1 :], strict=False)], dtype=np.uint64)
+    if none:
+        yield np.array([hashed(b" ".join(tokens), seed)], dtype=np.uint64)
+
 
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The sorted distinct hashes."""
+    return np.unique(np.concatenate([np.unique(x) for x in shingles(text, words)]))
 
-def keys_of(own: np.ndarray) -> list[int]:
-    """The keys of a set, as signed 64-bit numbers."""
+
+def fingerprint(blocks: list[np.ndarray]) -> int:
+    """A bit wherever over half of the hashes have it, as a signed number."""
+    ones = sum(np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for x in blocks)
+    return int(np.packbits(2 * ones > sum(map(len, blocks)), bitorder="little").view(np.int64)[0])
+
+
+def keys_of(own: np.ndarray) -> tuple[list[int], bytes]:
+    """The keys of a set, as signed 64-bit numbers, and its sketch."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for k in range(0, len(own), 2048):
         np.minimum(least, ((own[k : k + 2048, None] ^ _XOR) * _TIMES).min(axis=0), out=least)
     raw, size = least.tobytes(), 8 * ROWS
     found = [xxhash.xxh3_64_intdigest(raw[k * size : (k + 1) * size], k) for k in range(BANDS)]
-    return np.array(found, dtype=np.uint64).view(np.int64).tolist()
+    return np.array(found, dtype=np.uint64).view(np.int64).tolist(), least.astype(np.uint8).tobytes()
 
 
 def similar(a: bytes, b: bytes, least: float) -> bool:
@@ -65,19 +88,20 @@ def similar(a: bytes, b: bytes, least: float) -> bool:
     return both >= least * (len(x) + len(y) - both) - 1e-9
 
 
-def _signed(own: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64))
+PRINTS = "id long, row string, name binary, keys array<long>, sketch binary, fp long"
 
 
 def _keyed(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.rows_of(batches, 512):
-            node, keys = [], []
-            for text in common.utf8(batch.column(1)):
-                own = shingle_set(text, words)
-                node.append(_signed(own))
-                keys.append(keys_of(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "keys"])
+            found = []
+            for text in common.utf8(batch.column(2)):
+                blocks = list(shingles(text, words))
+                own = np.unique(np.concatenate(blocks))
+                found.append((xxhash.xxh3_128_digest(own.tobytes()), *keys_of(own), fingerprint(blocks)))
+            name, keys, sketch, fp = (list(x) for x in zip(*found, strict=True))
+            columns = [batch.column(0), batch.column(1), pa.array(name, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(fp, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "name", "keys", "sketch", "fp"])
 
     return run
 
@@ -100,34 +124,108 @@ def _verified(least: float):
     return run
 
 
+def _alike(least: float):
+    """Rows (key, pair, side, node, root, sketch), sorted by the first two: pairs of nodes in two components whose sketches
+    agree well enough. A pair of two blocks meets only across."""
+    need = int(np.ceil((least - SLACK) * BANDS * ROWS))
+
+    def compared(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side, node, root = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in (2, 3, 4))
+        sketch = np.frombuffer(b"".join(chain.from_iterable(b.column(5).to_pylist() for b in held)), dtype=np.uint8).reshape(len(node), -1)
+        across = len(np.unique(side)) > 1
+        for a in range(0, len(node), 64):
+            own = slice(a, a + 64)
+            good = (sketch[own, None, :] == sketch[None, :, :]).sum(axis=2, dtype=np.int16) >= need
+            good &= root[own, None] < root[None, :]
+            if across:
+                good &= side[own, None] != side[None, :]
+            i, j = np.nonzero(good)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a + i], node[j])), pa.array(np.maximum(node[a + i], node[j]))], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            key, pair = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(pair) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if a < b:
+                    if at != (key[a], pair[a]) and held:
+                        yield from compared(held)
+                        held = []
+                    at = (key[a], pair[a])
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from compared(held)
+
+    return run
+
+
+# ---------------------------------------------------------------------------------------------------------- the tables
+
+
+def row_name(id_: Column, text: Column) -> Column:
+    """128 bits of id and text, in hex."""
+    return F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit("\0"), F.coalesce(text.cast("string"), F.lit("\1"))))
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """rows, a staged table, with a hint to broadcast it if it has few rows; otherwise joins with it are shuffles."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _trie_pairs(classes: DataFrame) -> DataFrame:
+    """(u, v): classes that one fingerprint or the trie self-join of the fingerprints connects."""
+    named = classes.groupBy("fp").agg(F.min("node").alias("first"))
+    edges = links(named.select("fp"), radius=RADIUS)
+    ends = edges.join(named.toDF("u", "a"), "u").join(named.toDF("v", "b"), "v").select(F.col("a").alias("node"), F.col("b").alias("hub"))
+    return classes.join(named, "fp").filter("node <> first").select("node", F.col("first").alias("hub")).unionByName(ends)
+
+
+def _block_pairs(open_: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of the nodes of each key that are in two components and look alike."""
+    hot = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = open_.join(hot, "key").join(classes.select("node", "sketch"), "node").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.least("side", "other").cast("long") * F.lit(1 << 31) + F.greatest("side", "other").cast("long")
+    rows = rows.select("key", pair.alias("pair"), "side", "node", "root", "sketch")
+    rows = rows.repartition(common.shuffle_partitions(open_.sparkSession), "key", "pair").sortWithinPartitions("key", "pair")
+    return rows.mapInArrow(_alike(similarity), "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """id_col and component_id, the smallest id in the component, for every row of docs."""
+    """id_col, row (the row's name, of id and text) and component_id, the smallest id in the component, for every row of
+    docs, and component, which tells components apart also where ids are null."""
     folder = common.work_dir(docs.sparkSession, "shingles")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = common.stage(rows.mapInArrow(_keyed(words), "id long, node long, keys array<long>"), f"{folder}/prints")
-    classes = prints.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
-    classes = common.stage(classes, f"{folder}/classes")
+    id_, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    rows = common.spread(docs.select(id_.alias("id"), row_name(id_, text).alias("row"), text.alias("text")))
+    prints = common.stage(rows.mapInArrow(_keyed(words), PRINTS), f"{folder}/prints")
+    classes = prints.groupBy("name").agg(F.min("row").alias("row"), F.min("id").alias("id"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    classes = common.stage(classes.withColumn("node", F.monotonically_increasing_id()), f"{folder}/classes")
     buckets = classes.select("node", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = common.stage(buckets.join(shared, "key").select("key", "node"), f"{folder}/members")
-    some = members.select("node").distinct().join(classes.select("node", "id"), "node")
-    texts = rows.join(some, "id").dropDuplicates(["node"]).select("node", "text")
+    first = common.stage(_trie_pairs(classes), f"{folder}/trie")
+    some = members.select("node").unionByName(first.select("node")).unionByName(first.select(F.col("hub").alias("node"))).distinct()
+    some = common.stage(some.join(classes.select("node", "row"), "node"), f"{folder}/some")
+    texts = rows.join(small(some), "row").select("node", "text").dropDuplicates(["node"])
     sets = common.stage(texts.mapInArrow(_sets(words), "node long, own binary"), f"{folder}/sets")
 
-    nodes = seen = links = None
-    for turn in range(HUBS + 1):
-        named = members.withColumn("root", F.col("node"))
-        if nodes is not None:
+    nodes = seen = found = None
+    for turn in range(HUBS + 2):
+        if turn == 0:
+            pairs = first
+        else:
             named = members.join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
             open_ = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-            named = common.stage(named.join(open_, "key"), f"{folder}/open-{turn}")
-        if turn < HUBS:
-            hub = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("hub"), F.col("root").alias("other"))).alias("x"))
-            pairs = named.join(hub, "key").select("node", "root", "x.col1", "x.hub", "x.other").filter("root <> other")
-            if turn == 0:  # one hub for each
-                pairs = pairs.groupBy("node").agg(F.min(F.struct("col1", "hub")).alias("x")).select("node", "x.hub")
-        else:
-            pairs = named.alias("a").join(named.alias("b"), "key").filter("a.root < b.root").select(F.col("a.node").alias("node"), F.col("b.node").alias("hub"))
+            named = common.stage(named.join(open_, "key").select("key", "node", "root"), f"{folder}/open-{turn}")
+            if turn <= HUBS:
+                hub = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("hub"), F.col("root").alias("other"))).alias("x"))
+                pairs = named.join(hub, "key").select("node", "root", "x.col1", "x.hub", "x.other").filter("root <> other")
+                if turn == 1:  # one hub for each
+                    pairs = pairs.groupBy("node").agg(F.min(F.struct("col1", "hub")).alias("x")).select("node", "x.hub")
+            else:
+                pairs = _block_pairs(named, classes, similarity).toDF("node", "hub")
         pairs = pairs.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["u", "v"], "left_anti")
@@ -135,10 +233,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u")
         both = both.join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v").select("u", "v", "a", "b")
         new = common.stage(both.mapInArrow(_verified(similarity), "u long, v long"), f"{folder}/links-{turn}")
-        seen, links = (pairs, new) if seen is None else (seen.unionByName(pairs), links.unionByName(new))
+        seen, found = (pairs, new) if seen is None else (seen.unionByName(pairs), found.unionByName(new))
         if nodes is None or not new.isEmpty():
-            nodes = components(links, f"{folder}/components-{turn}")
-    rooted = classes.select("node", "id").join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            nodes = components(found, f"{folder}/components-{turn}")
+    rooted = classes.select("node", "name", "id").join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = rooted.join(least, "root").select("node", "component_id")
-    return prints.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "component_id")
+    named = rooted.join(least, "root").select("name", F.col("root").alias("component"), "component_id")
+    return prints.select("id", "row", "name").join(named, "name").select(F.col("id").alias(id_col), "row", "component", "component_id")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component, the one with the smallest id stays (one without an id
+    only if none has one; of rows that repeat it, one). Rows that go are told by name: texts are not shuffled as long as
+    the names are few."""
+    folder = common.work_dir(docs.sparkSession, "one")
+    found = common.stage(near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity).withColumnRenamed(id_col, "id"), f"{folder}/found")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")).select("component", F.col("first.row").alias("first"))
+    rows = found.groupBy("component", "row").agg(F.count("*").alias("n")).join(first, "component")
+    rows = common.stage(rows.select("row", "n", (F.col("row") == F.col("first")).alias("stays")), f"{folder}/rows")
+    gone = common.stage(rows.filter("NOT stays OR n > 1").select(F.col("row").alias("_row"), "stays"), f"{folder}/gone")
+    given = docs.withColumn("_row", row_name(F.col(id_col), F.col(text_col)))
+    gone = small(gone)
+    again = given.join(gone.filter("stays").select("_row"), "_row", "left_semi").dropDuplicates(["_row"])
+    return given.join(gone.select("_row"), "_row", "left_anti").unionByName(again).select(*docs.columns)

@@ -112,10 +112,16 @@ def test_query(spark, tmp_path):
     for doc_id, text in rows:
         own = spans(LIBRARY, text or "")
         ids, end = [*(x[0] for x in own), 2], len((text or "").encode())
-        want.append((doc_id, len(ids), sha(" ".join(map(str, ids))), sha(LIBRARY.decode(ids)), [*(x[1] for x in own), end], [*(x[2] for x in own), end]))
+        want.append((doc_id, len(ids), sha(" ".join(map(str, ids))), sha(LIBRARY.decode(ids)), hashlib.sha256(struct.pack(f"<{2 * len(ids)}i", *(n for _, *span in own for n in span), end, end)).hexdigest()))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_packed_spans(docs_of):
+    docs = docs_of([(1, "héllo wörld ▁ \n"), (2, None), (3, "a" * 50)])
+    packed = {r.doc_id: list(struct.iter_unpack("<2i", r.spans)) for r in pieces.encode(docs, MODEL, packed=True).collect()}
+    assert packed == {r.doc_id: list(zip(r.begins, r.ends, strict=True)) for r in pieces.encode(docs, MODEL).collect()}
+
+
 def test_empty(spark, docs_of):
     assert pieces.encode(docs_of([]), MODEL).count() == 0
 

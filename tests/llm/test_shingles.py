@@ -53,6 +53,43 @@ def test_groups(docs_of):
     assert shingles.near_duplicates(docs_of([])).count() == 0
 
 
+def closure(texts, least=0.8):
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and jaccard(texts[i], texts[j]) >= least:
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("hubs, block, rows", [(0, 8, 0), (0, 2048, 1 << 20), (1, 8, 1 << 20), (2, 8, 0)])
+def test_texts_of_one_template(docs_of, monkeypatch, hubs, block, rows):
+    """Many texts that share much, but not enough: their buckets are compared by blocks."""
+    monkeypatch.setattr(shingles, "HUBS", hubs)
+    monkeypatch.setattr(shingles, "BLOCK", block)
+    monkeypatch.setattr(shingles, "BROADCAST_ROWS", rows)
+    rng = random.Random(7)
+    base = " ".join(f"w{rng.randint(0, 5000)}" for _ in range(300))
+    texts = [edited(rng, base, rng.randint(10, 16)) for _ in range(30)]
+    texts += [edited(rng, rng.choice(texts), rng.randint(1, 8)) for _ in range(25)]
+    got = {r.doc_id: r.component_id for r in shingles.near_duplicates(docs_of(list(enumerate(texts)))).collect()}
+    want = closure(texts)
+    assert 20 < len(set(want)) < 40 and got == dict(enumerate(want))
+
+
+def test_one_of_each(docs_of, monkeypatch):
+    rng = random.Random(8)
+    base, other = (" ".join(f"w{rng.randint(0, 5000)}" for _ in range(200)) for _ in range(2))
+    rows = [(4, base), (3, edited(rng, base, 3)), (None, base), (9, other), (9, other), (9, "another text of id nine"), (None, "only without an id"), (None, "only without an id"), (5, None), (6, ""), (7, " ")]
+    for few in (0, 1 << 20):
+        monkeypatch.setattr(shingles, "BROADCAST_ROWS", few)
+        got = shingles.one_of_each(docs_of(rows))
+        assert got.columns == docs_of([]).columns
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([rows[1], rows[3], rows[5], rows[6], (5, None)], key=str)
+    assert shingles.one_of_each(docs_of([])).count() == 0
+
+
 @pytest.mark.parametrize("n", [12_000, 250_000, 15_000_000, 10**8])
 def test_tables_hold_recall_at_the_radius(n):
     found = simhash.tables(n, 4, simhash.RECALL, 42)
