@@ -39,16 +39,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10's groups, with candidates by min-wise hashes and the exact similarity of sets of five-word shingles, since
-    fingerprints only estimate it: of each group of linked documents, the one with the smallest id stays (one without an
-    id only if none has one). Documents whose text is empty once lines have gone are one group. Rows are told apart by
-    id and text, so rows that repeat one are copies too."""
+    """Operator 10's trie self-join of fingerprints, of five-word shingles, and min-wise hashes for what fingerprints miss at
+    this similarity; every link is verified by the exact similarity of the sets of shingles. Of each group of linked
+    documents, the one with the smallest id stays (one without an id only if none has one). Documents whose text is empty
+    once lines have gone are one group. Of rows that repeat id and text, one stays."""
     common.ship(spark)
-    docs = docs.select(*COLUMNS).withColumn("row", F.xxhash64("doc_id", "text"))
-    found = shingles.near_duplicates(docs.select("row", "text"), id_col="row", words=5, similarity=SIMILARITY)
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
-    kept = docs.select("row", "doc_id").join(found.select("row", "component_id").distinct(), "row").groupBy("component_id").agg(first)
-    return docs.join(kept.select("first.row"), "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
+    return shingles.one_of_each(docs.select(*COLUMNS), words=5, similarity=SIMILARITY)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,12 +55,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: ids with their end id, the pieces' byte spans, and digests of ids and decoded text."""
+    """Operator 1: ids with their end id, the pieces' byte spans in the text, the number of ids, and digests of ids and decoded
+    text."""
     import public_tokenizers
 
     common.ship(spark)
     encoded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
-    return pieces.digests(encoded)
+    return encoded.select("doc_id", "ids", "begins", "ends", *pieces.digests())
 
 
 STAGES = [("language", language), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("sentencepiece", encoding)]
