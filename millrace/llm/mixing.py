@@ -3,7 +3,7 @@
 1. Words are counted for each cell (source, language, topic). Every value is one of its own (where MOST has a number, the
    values with the most words and those that a target names are, and the others are "other").
 2. The cells' words are raked: scaled to the target shares of the sources, then of the languages, then of the topics,
-   SWEEPS times over. A cell's weight is its raked words by its words. Up to DRIVER_CELLS cells are raked on the driver;
+   again and again until no value's share is off by more than ERROR, or SWEEPS times (then a warning says how far off). A cell's weight is its raked words by its words. Up to DRIVER_CELLS cells are raked on the driver;
    more stay a table, and each step joins it with the dimensions' factors and sums it up along one of them.
 3. A document is sampled with its cell's probability, by a hash of its id. The expected words are share of all words of
    the cells with a weight, whatever the rarest cell is: each dimension's values get their target's part of them, but at
@@ -13,7 +13,8 @@
    given rate it is rate * weight cut at 1.
 
 Targets are shares by value (values without one keep none), or, by default, the observed shares to the power TEMPER,
-which lifts rare values. Shares are scaled to the sum of 1. Topics are told from fixed strings in the text.
+which lifts rare values. Shares are scaled to the sum of 1. Words stand for tokens, and topics are told from fixed strings in
+the text, unless columns of docs give them (tokens_col, topic_col).
 
 Defined cases: null text counts as empty; a null source or language is the value "unknown"; an id that is repeated is
 sampled with all its rows or none (each row by the probability of its own cell), a null id is hashed as the empty text;
@@ -23,14 +24,20 @@ ones are replaced.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common
 
-MOST, TEMPER, SWEEPS = {"source": None, "lang": None, "topic": None}, 0.7, 25
+MOST, TEMPER, SWEEPS, ERROR = {"source": None, "lang": None, "topic": None}, 0.7, 100, 1e-9
+#: Sweeps with probabilities that are cut at 1.
+CAPPED_SWEEPS = 25
 #: Of the words, what is expected to be kept.
 SHARE = 0.8
+#: Sweeps of the query, without a look at the error: its SQL can't stop early.
+SQL_SWEEPS = 40
 #: Cells that the driver rakes at most.
 DRIVER_CELLS = 50_000
 #: Cells of which the table is broadcast at most; more are joined by a shuffle.
@@ -57,18 +64,28 @@ def uniform(id_: Column, salt: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def rake(cells: dict[tuple, float], targets: list[dict], sweeps: int = SWEEPS) -> dict[tuple, float]:
+def rake(cells: dict[tuple, float], targets: list[dict], sweeps: int = SWEEPS, error: float = ERROR) -> dict[tuple, float]:
     """Cells scaled so that their shares along each dimension come to the targets'."""
-    total = sum(cells.values())
+    total, off = sum(cells.values()), 0.0
     for _ in range(sweeps):
+        off = 0.0
         for k, target in enumerate(targets):
             have: dict = {}
             for cell, x in cells.items():
                 have[cell[k]] = have.get(cell[k], 0.0) + x
+            off = max([off, *(abs(x / total - target.get(v, 0.0)) for v, x in have.items())]) if total else 0.0
             cells = {cell: x * target.get(cell[k], 0.0) * total / have[cell[k]] if have[cell[k]] else x for cell, x in cells.items()}
+        if off <= error:
+            break
+    _warn(off, error)
     return cells
 
 
+def _warn(off: float, error: float) -> None:
+    if off > error > 0:
+        warnings.warn(f"raking has stopped with a share that is off by {off:.2g}: the targets contradict each other, or more sweeps are needed", stacklevel=3)
+
+
 def filled(have: dict, target: dict, total: float) -> dict:
     """Words of each value: in proportion to the target's shares, at most what it has, total in all if that can be."""
     rate = total
@@ -93,7 +110,7 @@ def capped(cells: dict[tuple, tuple[float, float]], targets: list[dict], share:
         goals.append(filled(have, target, total))
     scale = total / (sum(x for _, x in cells.values()) or 1.0)
     now = {cell: scale * x for cell, (_, x) in cells.items()}
-    for _ in range(sweeps):
+    for _ in range(min(sweeps, CAPPED_SWEEPS)):
         for k, goal in enumerate(goals):
             full, free = dict.fromkeys(goal, 0.0), dict.fromkeys(goal, 0.0)
             for cell, x in now.items():
@@ -121,10 +138,10 @@ def tempered(cells: dict[tuple, float], k: int, power: float) -> dict:
     return {v: x / sum(raised.values()) for v, x in raised.items()}
 
 
-def rake_table(cells: DataFrame, targets: dict[str, DataFrame], folder: str, sweeps: int = SWEEPS) -> DataFrame:
+def rake_table(cells: DataFrame, targets: dict[str, DataFrame], folder: str, sweeps: int = SWEEPS, error: float = ERROR) -> DataFrame:
     """rake() of a table of cells with words: the cells with x. targets: (value, share) of each dimension."""
     total = cells.agg(F.sum("words")).first()[0] or 0
-    factors = {dim: None for dim in targets}
+    factors, off = {dim: None for dim in targets}, 0.0
 
     def scaled() -> DataFrame:
         out = cells.withColumn("x", F.col("words").cast("double"))
@@ -134,13 +151,19 @@ def rake_table(cells: DataFrame, targets: dict[str, DataFrame], folder: str, swe
         return out
 
     for sweep in range(sweeps):
+        off = 0.0
         for dim, target in targets.items():
             have = scaled().groupBy(F.col(dim).alias("value")).agg(F.sum("x").alias("have"))
             step = F.when(F.col("have") > 0, F.coalesce("share", F.lit(0.0)) * float(total) / F.col("have")).otherwise(1.0)
-            new = have.join(target, "value", "left").select("value", step.alias("step"))
+            new = have.join(target, "value", "left").select("value", step.alias("step"), F.abs(F.col("have") / (float(total) or 1.0) - F.coalesce("share", F.lit(0.0))).alias("off"))
             old = factors[dim]
             new = new.withColumn("factor", F.col("step")) if old is None else new.join(old, "value").withColumn("factor", F.col("step") * F.col("factor"))
-            factors[dim] = common.stage(new.select("value", "factor"), f"{folder}/factors-{dim}-{sweep}")
+            factors[dim] = common.stage(new.select("value", "factor", "off"), f"{folder}/factors-{dim}-{sweep}")
+            off = max(off, factors[dim].agg(F.max("off")).first()[0] or 0.0)
+            factors[dim] = factors[dim].drop("off")
+        if off <= error:
+            break
+    _warn(off, error)
     return scaled()
 
 
@@ -167,7 +190,7 @@ def capped_table(cells: DataFrame, targets: dict[str, DataFrame], share: float,
             out = out.join(factor.withColumnRenamed("value", dim), dim).withColumn("x", F.col("x") * F.col("factor")).drop("factor")
         return out
 
-    for sweep in range(sweeps):
+    for sweep in range(min(sweeps, CAPPED_SWEEPS)):
         for dim, goal in goals.items():
             at_most = F.col("x") >= F.col("words")
             sums = scaled().groupBy(F.col(dim).alias("value")).agg(F.sum(F.when(at_most, F.col("words")).otherwise(0.0)).alias("full"), F.sum(F.when(at_most, 0.0).otherwise(F.col("x"))).alias("free"))
@@ -181,15 +204,17 @@ def capped_table(cells: DataFrame, targets: dict[str, DataFrame], share: float,
     return cells.join(found, list(targets), "left").withColumn("probability", F.coalesce("probability", F.when(F.col("words") > 0, 0.0).otherwise(1.0)))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, rate: float | None = None, share: float | None = SHARE, salt: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, rate: float | None = None, share: float | None = SHARE, salt: str = "mix", topic_col: str | None = None, tokens_col: str | None = None, sweeps: int = SWEEPS, error: float = ERROR) -> DataFrame:
     """docs with topic, n_words, weight, probability and sampled. targets: shares by "source", "lang" or "topic"."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     names = [c for c in docs.columns if c not in NEW]
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    topic = value(topic_col) if topic_col else topic_of(text)
+    n_words = F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)) if tokens_col else F.regexp_count(text, F.lit(WORD)).cast("long")
     rows = docs.select(
         F.struct(*names).alias("row"), F.col(id_col).alias("id"), value(source_col).alias("source"), value(lang_col).alias("lang"),
-        topic_of(text).alias("topic"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),
+        topic.alias("topic"), n_words.alias("n_words"),
     )
     folder = common.work_dir(spark, "mix")
     cells = rows.groupBy("source", "lang", "topic").agg(F.sum("n_words").alias("words"))
@@ -211,7 +236,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         for k, dim in enumerate(MOST):
             own = own_targets.get(dim)
             goals.append({v: x / sum(own.values()) for v, x in own.items()} if own else tempered(found, k, temper))
-        raked = rake(dict(found), goals)
+        raked = rake(dict(found), goals, sweeps, error)
         weights = sorted((*cell, raked[cell] / x if x else 1.0) for cell, x in found.items())
         if rate is None and share is not None:
             kept_of = capped({cell: (x, raked[cell]) for cell, x in found.items()}, goals, share)
@@ -230,7 +255,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
             raised = cells.groupBy(F.col(dim).alias("value")).agg(F.sum("words").alias("words")).filter("words > 0").select("value", F.pow("words", F.lit(temper)).alias("share"))
             raised = common.stage(raised, f"{folder}/raised-{dim}")
             goals[dim] = raised.select("value", (F.col("share") / (raised.agg(F.sum("share")).first()[0] or 1.0)).alias("share"))
-        table = rake_table(cells, goals, folder).select(*MOST, "words", F.when(F.col("words") > 0, F.col("x") / F.col("words")).otherwise(1.0).alias("weight"))
+        table = rake_table(cells, goals, folder, sweeps, error).select(*MOST, "words", F.when(F.col("words") > 0, F.col("x") / F.col("words")).otherwise(1.0).alias("weight"))
         table = common.stage(table, f"{folder}/weights")
         if rate is None and share is not None:
             table = common.stage(capped_table(table, goals, share, folder), f"{folder}/probabilities")
@@ -247,7 +272,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    out = mix(docs, share=None)
+    out = mix(common.spread(docs), share=None, sweeps=SQL_SWEEPS, error=0.0)
     return out.select("doc_id", "source", "lang", "topic", "n_words", F.round("weight", 8).alias("weight"), F.round("probability", 8).alias("probability"), "sampled")
 
 
@@ -258,7 +283,7 @@ def _sql() -> str:
     for dim in MOST:
         step = f"SELECT c.source, c.lang, c.topic, c.words, c.x * g.share * total / sum(c.x) OVER (PARTITION BY c.{dim}) AS x FROM ({step}) AS c JOIN {dim}_t AS g ON g.{dim} = c.{dim}, total"
     sweeps, before = [], "SELECT *, words AS x FROM (SELECT source, lang, topic, CAST(words AS DOUBLE) AS words FROM cells WHERE words > 0)"
-    for k in range(SWEEPS):
+    for k in range(SQL_SWEEPS):
         sweeps.append(f"s{k} AS MATERIALIZED ({step.replace('FROM it', f'FROM ({before})')})")
         before = f"SELECT * FROM s{k}"
     return f"""

@@ -1,13 +1,17 @@
 """Finds secrets with a trigram inverted index and SQL functions only.
 
-1. For each rule, a Boolean trigram query is derived from its regular expression: of the runs of the expression that
-   can only be a few strings, one is chosen whose shortest string is longest; each of its strings asks for all of its
-   trigrams (in lower case), and one of them has to be there. Rules without such a run have no query.
-2. The inverted index holds postings (trigram, text) for the trigrams that any query asks for; texts are named by their
-   MD5 digest, so copies are one posting list entry. It is written to the shared folder, sorted by trigram.
+1. For each rule, a Boolean trigram query is derived from its regular expression: every run of the expression that can only
+   be a few strings of three characters or more has to be there, that is, all trigrams of one of its strings (in lower
+   case). The query is the AND of its runs. Rules without such a run have no query.
+2. The inverted index holds postings (trigram, text) for given trigrams, by default those that the rules' queries ask for
+   (an index of all trigrams would be larger than the texts); texts are named by their MD5 digest, so copies are one
+   entry of a posting list. It is written to the shared folder, sorted by trigram, and can be used again: of another
+   rule, the runs whose trigrams the index has are asked for, and a rule without one scans fully.
 3. Postings are intersected: for each text and string, the bits of the trigrams that it has are or-ed (with map-side
-   parts; no posting list is ever collected), and a text whose bits are complete is a candidate of the rule.
-4. Candidates are verified with the rule's expression. Rules without a query scan all texts.
+   parts; no posting list is ever collected), a string whose bits are complete stands for its run, and a text with all
+   of a rule's runs is a candidate of the rule.
+4. Candidates are verified with the rule's expression. They reach their texts as a table of at most BROADCAST_ROWS digests
+   that is broadcast, or by a shuffle if there are more. Rules without a query scan all texts.
 
 Defined cases: null text counts as empty and has no span; rows are independent, so ties and repeated rows, null ids and
 very long texts need no care; an empty table gives no rows; the other columns are kept, and one named spans is replaced.
@@ -59,6 +63,8 @@ RULES = BASE + MORE
 
 # --------------------------------------------------------------------------------------------------- trigram queries
 
+#: Digests of candidates that are broadcast, some 50 bytes each.
+BROADCAST_ROWS = 1 << 20
 #: A run of more strings than this, or a class of more characters, ends a run.
 FEW = 64
 
@@ -103,8 +109,12 @@ def _strings(op: str, value) -> set[str] | None:
     return None
 
 
-def trigram_query(pattern: str) -> list[frozenset[str]] | None:
-    """Any of the sets has to be in a text, in lower case, that the pattern matches; None if nothing has to."""
+#: A run of a query: in a text, all trigrams of one of the sets have to be.
+Run = tuple[frozenset[str], ...]
+
+
+def trigram_query(pattern: str) -> list[Run]:
+    """The runs that a text which the pattern matches has, in lower case; none if nothing has to be there."""
     runs, run = [], {""}
     for op, value in re._parser.parse(pattern):
         own = _strings(str(op), value)
@@ -114,12 +124,17 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
             runs.append(run)
             run = own or {""}
     runs.append(run)
-    best = max(runs, key=lambda r: min(map(len, r)))
-    if min(map(len, best)) < 3:
-        return None
-    lowered = {s.lower() for s in best}
-    needed = [s for s in sorted(lowered) if not any(t != s and t in s for t in lowered)]
-    return [frozenset(s[k : k + 3] for k in range(len(s) - 2)) for s in needed]
+    query = []
+    for strings in runs:
+        if min(map(len, strings)) >= 3:
+            lowered = {s.lower() for s in strings}
+            needed = [s for s in sorted(lowered) if not any(t != s and t in s for t in lowered)]
+            query.append(tuple(frozenset(s[k : k + 3] for k in range(len(s) - 2)) for s in needed))
+    return query
+
+
+def grams_of(queries: list[list[Run]]) -> list[str]:
+    return sorted({g for query in queries for run in query for need in run for g in need})
 
 
 # -------------------------------------------------------------------------------------------------------- the operator
@@ -129,22 +144,39 @@ def _key(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def postings(texts: DataFrame, grams: list[str]) -> DataFrame:
-    """(gram, key) for the columns text and key: which of the trigrams the text has, in lower case."""
-    low = texts.select("key", F.lower("text").alias("low"))
-    has = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(k)) for k, g in enumerate(grams))))
-    return low.select("key", F.explode(has).alias("gram")).select("gram", "key")
+@dataclass(frozen=True)
+class Index:
+    """Postings (gram, key): the number of a trigram in grams, and a text's digest."""
+
+    postings: DataFrame
+    grams: tuple[str, ...]
+
+
+def index_of(docs: DataFrame, grams: list[str], *, text_col: str = "text") -> Index:
+    """An inverted index of the texts for these trigrams, of three characters without capitals each."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    low = common.spread(docs.select(text.alias("text"))).select(_key(F.col("text")).alias("key"), F.lower("text").alias("low"))
+    has = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(k)) for k, g in enumerate(grams)), F.lit(None).cast("int")))
+    rows = low.select("key", F.explode(has).alias("gram")).select("gram", "key").distinct().sortWithinPartitions("gram")
+    return Index(common.stage(rows, f"{common.work_dir(docs.sparkSession, 'secrets')}/index"), tuple(grams))
+
+
+def known_runs(query: list[Run], grams: tuple[str, ...]) -> list[Run]:
+    """The runs that an index of these trigrams can answer."""
+    return [run for run in query if all(need <= set(grams) for need in run)]
 
 
-def candidates(index: DataFrame, queries: dict[int, list[frozenset[str]]], grams: list[str]) -> DataFrame:
+def candidates(index: Index, queries: dict[int, list[Run]]) -> DataFrame:
     """(key, rules): a bit for each rule of which the text is a candidate."""
     terms = []
-    for rule, strings in queries.items():
-        for k, need in enumerate(strings):
-            terms += [(grams.index(g), rule, k, 1 << b, (1 << len(need)) - 1) for b, g in enumerate(sorted(need))]
-    table = index.sparkSession.createDataFrame(terms, "gram int, rule int, string int, bit long, full long")
-    met = index.join(F.broadcast(table), "gram")  # as many rows as the rules' strings have trigrams
-    found = met.groupBy("key", "rule", "string", "full").agg(F.bit_or("bit").alias("bits")).filter("bits = full")
+    for rule, query in queries.items():
+        for r, run in enumerate(query):
+            for k, need in enumerate(run):
+                terms += [(index.grams.index(g), rule, r, k, 1 << b, (1 << len(need)) - 1, (1 << len(query)) - 1) for b, g in enumerate(sorted(need))]
+    table = index.postings.sparkSession.createDataFrame(terms, "gram int, rule int, run int, string int, bit long, full long, runs long")
+    met = index.postings.join(F.broadcast(table), "gram")  # as many rows as the rules' strings have trigrams
+    found = met.groupBy("key", "rule", "run", "string", "full", "runs").agg(F.bit_or("bit").alias("bits")).filter("bits = full")
+    found = found.groupBy("key", "rule", "runs").agg(F.bit_or(F.expr("shiftleft(1L, run)")).alias("bits")).filter("bits = runs")
     return found.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
@@ -167,18 +199,17 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda state: state["out"])
 
 
-def scan(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with spans, an array of (start, kind, end) by start, then by the rules' order; kind is the rule's number."""
+def scan(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES, index: Index | None = None) -> DataFrame:
+    """docs with spans, an array of (start, kind, end) by start, then by the rules' order; kind is the rule's number. index:
+    one of these texts, else it is made for the rules."""
     names = [c for c in docs.columns if c != "spans"]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*names).alias("row"), text.alias("text"))
-    queries = {k: q for k, rule in enumerate(rules) if (q := trigram_query(rule.pattern))}
-    grams = sorted({g for q in queries.values() for need in q for g in need})
-    folder = common.work_dir(docs.sparkSession, "secrets")
-    texts = rows.select("text", _key(F.col("text")).alias("key"))
-    index = postings(texts, grams)
-    index = common.stage(index.repartition(common.shuffle_partitions(docs.sparkSession)).sortWithinPartitions("gram"), f"{folder}/index")
-    chosen = common.stage(candidates(index, queries, grams), f"{folder}/candidates")
+    rows = common.spread(docs.select(F.struct(*names).alias("row"), text.alias("text")))
+    asked = {k: trigram_query(rule.pattern) for k, rule in enumerate(rules)}
+    index = index or index_of(docs, grams_of(list(asked.values())), text_col=text_col)
+    queries = {k: runs for k, query in asked.items() if (runs := known_runs(query, index.grams))}
+    chosen = common.stage(candidates(index, queries), f"{common.work_dir(docs.sparkSession, 'secrets')}/candidates")
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     keyed = rows.withColumn("key", _key(F.col("text"))).join(chosen, "key", "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     found = []

@@ -71,3 +71,25 @@ def test_empty(docs_of):
 def test_rake_by_hand():
     got = mixing.rake({("a", "x"): 1.0, ("a", "y"): 1.0, ("b", "x"): 2.0}, [{"a": 0.5, "b": 0.5}, {"x": 0.75, "y": 0.25}])
     assert got == pytest.approx({("a", "x"): 1, ("a", "y"): 1, ("b", "x"): 2})
+
+
+def test_stops_by_error():
+    rng_ = random.Random(3)
+    cells = {(a, b, c): rng_.random() ** 4 + 1e-6 for a in "abcdef" for b in "xyz" for c in "pqr" if rng_.random() < 0.6}
+    goals = [mixing.tempered(cells, k, 0.3) for k in range(3)]
+    got = mixing.rake(dict(cells), goals, 2000, 1e-12)
+    for k, goal in enumerate(goals):
+        have = {}
+        for cell, x in got.items():
+            have[cell[k]] = have.get(cell[k], 0) + x / sum(cells.values())
+        assert have == pytest.approx(goal, abs=1e-11)
+    with pytest.warns(UserWarning, match="off by"):
+        mixing.rake({("a", "x"): 1.0, ("b", "y"): 1.0}, [{"a": 0.9, "b": 0.1}, {"x": 0.1, "y": 0.9}], 50)
+
+
+def test_given_topics_and_tokens(docs_of):
+    docs = docs_of([(k, "one two", "en", "a") for k in range(30)])
+    docs = docs.selectExpr("*", "concat('t', doc_id % 3) AS subject", "doc_id AS tokens")
+    rows = mixing.mix(docs, topic_col="subject", tokens_col="tokens", targets={"topic": {"t0": 0.5, "t1": 0.25, "t2": 0.25}}).collect()
+    assert {r.topic for r in rows} == {"t0", "t1", "t2"} and all(r.n_words == r.doc_id for r in rows)
+    assert shares(rows, lambda r: r.topic) == pytest.approx({"t0": 0.5, "t1": 0.25, "t2": 0.25}, abs=1e-6)

@@ -14,8 +14,8 @@ TINY = (9999, "five words are in here", "xx", "tiny")
 @pytest.mark.parametrize("cells", [50_000, 0])
 def test_a_tiny_cell_takes_nothing_from_the_others(docs_of, cells, monkeypatch):
     monkeypatch.setattr(mixing, "DRIVER_CELLS", cells)
-    monkeypatch.setattr(mixing, "SWEEPS", 25 if cells else 5)
-    rows = mixing.mix(docs_of([*ROWS, TINY]), temper=0.7).collect()
+    monkeypatch.setattr(mixing, "CAPPED_SWEEPS", 25 if cells else 5)
+    rows = mixing.mix(docs_of([*ROWS, TINY]), temper=0.7, sweeps=5).collect()
     words = sum(r.n_words for r in rows)
     assert sum(r.n_words * r.probability for r in rows) / words == pytest.approx(mixing.SHARE, abs=1e-3)
     assert sum(r.n_words * r.sampled for r in rows) / words == pytest.approx(mixing.SHARE, abs=0.04)

@@ -21,12 +21,37 @@ def brute(text):
 
 
 def test_queries():
-    words = lambda *w: [frozenset(s[k : k + 3] for k in range(len(s) - 2)) for s in w]
-    assert S.trigram_query(S.RULES[0].pattern) == words("api_key", "apikey", "passwd", "password", "secret", "token")
-    assert S.trigram_query(S.RULES[1].pattern) == words("akia")
-    assert S.trigram_query(S.RULES[2].pattern) is None
-    assert S.trigram_query("(abc|xy)z+") is None
-    assert S.trigram_query("[0-9]+abcd(e|f)x?") == words("abcde", "abcdf")
+    words = lambda *w: tuple(frozenset(s[k : k + 3] for k in range(len(s) - 2)) for s in w)
+    assert S.trigram_query(S.RULES[0].pattern) == [words("api_key", "apikey", "passwd", "password", "secret", "token")]
+    assert S.trigram_query(S.RULES[1].pattern) == [words("akia")]
+    assert S.trigram_query(S.RULES[2].pattern) == []
+    assert S.trigram_query(S.RULES[6].pattern) == [words("-----begin "), words("private key-----")]
+    assert S.trigram_query("(abc|xy)z+") == []
+    assert S.trigram_query("[0-9]+abcd(e|f)x?") == [words("abcde", "abcdf")]
+
+
+def test_candidates_have_all_runs(docs_of):
+    rules = {0: S.trigram_query("hello[0-9]*(wor|war)ld"), 1: S.trigram_query("abc")}
+    docs = docs_of([(k, t) for k, t in enumerate(["hello", "hello world", "HELLO warld", "hello world abc", "abc", "hell o world", None, "hello world"])])
+    index = S.index_of(docs, S.grams_of(list(rules.values())))
+    assert index.postings.count() == index.postings.distinct().count()
+    assert sorted(r.rules for r in S.candidates(index, rules).collect()) == [1, 1, 2, 3]
+
+
+def test_an_index_answers_other_rules(docs_of):
+    docs = docs_of([(1, "xx foobar1 yy"), (2, "foo bar"), (3, "quux7"), (4, None)])
+    index = S.index_of(docs, ["foo", "oba", "bar", "oob"])
+    rules = (S.Rule("a", "foobar[0-9]", 1), S.Rule("b", "quux[0-9]", 1), S.Rule("c", "foo[x-z ]+bar", 1))
+    assert [len(S.known_runs(S.trigram_query(r.pattern), index.grams)) for r in rules] == [1, 0, 2]
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in S.scan(docs, rules=rules, index=index).collect()}
+    assert got == {1: [(3, 0, 10)], 2: [(0, 2, 7)], 3: [(0, 1, 5)], 4: []}
+
+
+@pytest.mark.parametrize("rows", [0, 1 << 20])
+def test_many_candidates_are_joined(docs_of, monkeypatch, rows):
+    monkeypatch.setattr(S, "BROADCAST_ROWS", rows)
+    got = S.scan(docs_of([(1, "token=abcdef"), (2, "nothing"), (1, "token=abcdef")])).collect()
+    assert sorted((r.doc_id, len(r.spans)) for r in got) == [(1, 1), (1, 1), (2, 0)]
 
 
 def texts():
