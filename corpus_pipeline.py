@@ -13,7 +13,7 @@ from millrace.llm import common, lang_id, line_dedup, mixing, pieces, shingles
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if its language is not told at least this well.
-LEAST_SCORE = 0.3
+LEAST_SCORE = 0.4
 #: Of the sets of five-word shingles, from which documents are linked.
 SIMILARITY = 0.8
 #: Shares go to this power: nearer to 1, fewer documents of frequent kinds are left out.
@@ -23,7 +23,8 @@ SHARE = mixing.SHARE
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: rejects documents without a letter and those of no clear language; sets lang where it was null."""
+    """Operator 6: rejects documents without a letter and those of which no language has two fifths of the words; sets lang
+    where it was null."""
     common.ship(spark)
     model = lang_id.train(docs, F.lit(True))
     found = lang_id.predict(docs.select(*COLUMNS), model)
