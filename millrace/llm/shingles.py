@@ -8,12 +8,12 @@
 3. Candidates are verified: the similarity |A and B| / |A or B| is counted from the sets. First come the links of the
    fingerprints' trie self-join (within RADIUS bits, millrace.llm.simhash), which join most copies; fingerprints alone
    would miss many pairs of similarity 0.8, and join some below. Then each class meets one hub of its buckets, and another
-   that is not in its component yet. What is left of a bucket in two components is compared by sketches, the lowest bytes
-   of the smallest values, block by block: only pairs whose sketches agree in SLACK less than the similarity asks for are
-   made, and verified.
+   that is not in its component yet. What is left of a bucket in two components is compared block by block: by sketches,
+   the lowest bytes of the smallest values, then those of which the sketches agree in no less than SLACK below the
+   similarity by their sets, each pair in the first bucket that it shares. A task gives a forest of links.
 
 So what is linked is the closure of the pairs that share a key and have the similarity; large groups of copies need no more
-pairs than members, and no pair of a bucket is made that does not look similar.
+pairs than members, and the pairs of a bucket are never rows.
 
 Defined cases: null text counts as empty; the texts without a word are one class; rows that repeat an id and a text have one
 name; null ids take part, and name a component only if all its ids are null; an empty table gives no rows; other columns
@@ -35,8 +35,9 @@ from millrace.llm import common
 from millrace.llm.simhash import _token_blocks, components, links
 
 BANDS, ROWS, HUBS, RADIUS = 20, 5, 2, 4
-#: Of a sketch: what chance may take from the share of equal bytes (four deviations at 0.8); members of a block.
-SLACK, BLOCK = 0.16, 2048
+#: Of a sketch: what chance may take from the share of equal bytes (four deviations at 0.8); members of a block, and bytes of
+#: their sets.
+SLACK, BLOCK, BLOCK_BYTES = 0.16, 2048, 16 << 20
 #: Names of rows that are broadcast, at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 _rng = np.random.default_rng(23)
@@ -124,24 +125,42 @@ def _verified(least: float):
     return run
 
 
-def _alike(least: float):
-    """Rows (key, pair, side, node, root, sketch), sorted by the first two: pairs of nodes in two components whose sketches
-    agree well enough. A pair of two blocks meets only across."""
+def _linked(least: float):
+    """Rows (key, pair, side, node, root, sketch, keys, own), sorted by the first two: links of nodes in two components that
+    join just what the similar pairs of a group join. A pair of two blocks meets only across."""
     need = int(np.ceil((least - SLACK) * BANDS * ROWS))
 
-    def compared(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def linked(key: int, held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         side, node, root = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in (2, 3, 4))
         sketch = np.frombuffer(b"".join(chain.from_iterable(b.column(5).to_pylist() for b in held)), dtype=np.uint8).reshape(len(node), -1)
-        across = len(np.unique(side)) > 1
+        keys = np.concatenate([b.column(6).flatten().to_numpy() for b in held]).reshape(len(node), BANDS)
+        sets = list(chain.from_iterable(b.column(7) for b in held))
+        size = np.array([x.as_buffer().size for x in sets], dtype=np.int64)
+        across, into, u, v = len(np.unique(side)) > 1, {}, [], []
+
+        def find(x: int) -> int:
+            while x in into:
+                x = into[x]
+            return x
+
         for a in range(0, len(node), 64):
             own = slice(a, a + 64)
             good = (sketch[own, None, :] == sketch[None, :, :]).sum(axis=2, dtype=np.int16) >= need
             good &= root[own, None] < root[None, :]
+            good &= np.minimum(size[own, None], size[None, :]) >= least * np.maximum(size[own, None], size[None, :]) - 1e-6
             if across:
                 good &= side[own, None] != side[None, :]
             i, j = np.nonzero(good)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a + i], node[j])), pa.array(np.maximum(node[a + i], node[j]))], names=["u", "v"])
+            i += a
+            same = keys[i] == keys[j]
+            here = keys[i, same.argmax(axis=1)] == key  # the first bucket of the pair
+            for x, y in zip(i[here].tolist(), j[here].tolist(), strict=True):
+                p, q = find(int(root[x])), find(int(root[y]))
+                if p != q and similar(sets[x].as_buffer(), sets[y].as_buffer(), least):
+                    into[max(p, q)] = min(p, q)
+                    u.append(min(node[x], node[y]))
+                    v.append(max(node[x], node[y]))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"]) if u else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -151,12 +170,13 @@ def _alike(least: float):
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
                 if a < b:
                     if at != (key[a], pair[a]) and held:
-                        yield from compared(held)
+                        if (out := linked(at[0], held)) is not None:
+                            yield out
                         held = []
                     at = (key[a], pair[a])
                     held.append(batch.slice(a, b - a))
-        if held:
-            yield from compared(held)
+        if held and (out := linked(at[0], held)) is not None:
+            yield out
 
     return run
 
@@ -182,15 +202,18 @@ def _trie_pairs(classes: DataFrame) -> DataFrame:
     return classes.join(named, "fp").filter("node <> first").select("node", F.col("first").alias("hub")).unionByName(ends)
 
 
-def _block_pairs(open_: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """(u, v) of the nodes of each key that are in two components and look alike."""
-    hot = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = open_.join(hot, "key").join(classes.select("node", "sketch"), "node").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def _block_links(open_: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links of the nodes of each key that are in two components."""
+    sizes = sets.select("node", F.octet_length("own").alias("bytes"))
+    most = F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)
+    hot = open_.join(sizes, "node").groupBy("key").agg(F.ceil(most).cast("int").alias("blocks"))
+    rows = open_.join(hot, "key").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.least("side", "other").cast("long") * F.lit(1 << 31) + F.greatest("side", "other").cast("long")
-    rows = rows.select("key", pair.alias("pair"), "side", "node", "root", "sketch")
+    rows = rows.join(classes.select("node", "sketch", "keys"), "node").join(sets, "node")
+    rows = rows.select("key", pair.alias("pair"), "side", "node", "root", "sketch", "keys", "own")
     rows = rows.repartition(common.shuffle_partitions(open_.sparkSession), "key", "pair").sortWithinPartitions("key", "pair")
-    return rows.mapInArrow(_alike(similarity), "u long, v long").distinct()
+    return rows.mapInArrow(_linked(similarity), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -219,21 +242,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             named = members.join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
             open_ = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
             named = common.stage(named.join(open_, "key").select("key", "node", "root"), f"{folder}/open-{turn}")
-            if turn <= HUBS:
-                hub = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("hub"), F.col("root").alias("other"))).alias("x"))
-                pairs = named.join(hub, "key").select("node", "root", "x.col1", "x.hub", "x.other").filter("root <> other")
-                if turn == 1:  # one hub for each
-                    pairs = pairs.groupBy("node").agg(F.min(F.struct("col1", "hub")).alias("x")).select("node", "x.hub")
-            else:
-                pairs = _block_pairs(named, classes, similarity).toDF("node", "hub")
-        pairs = pairs.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["u", "v"], "left_anti")
-        pairs = common.stage(pairs, f"{folder}/pairs-{turn}")
-        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u")
-        both = both.join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v").select("u", "v", "a", "b")
-        new = common.stage(both.mapInArrow(_verified(similarity), "u long, v long"), f"{folder}/links-{turn}")
-        seen, found = (pairs, new) if seen is None else (seen.unionByName(pairs), found.unionByName(new))
+        if turn in range(1, HUBS + 1):
+            hub = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("hub"), F.col("root").alias("other"))).alias("x"))
+            pairs = named.join(hub, "key").select("node", "root", "x.col1", "x.hub", "x.other").filter("root <> other")
+            if turn == 1:  # one hub for each
+                pairs = pairs.groupBy("node").agg(F.min(F.struct("col1", "hub")).alias("x")).select("node", "x.hub")
+        if turn <= HUBS:
+            pairs = pairs.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+            if seen is not None:
+                pairs = pairs.join(seen, ["u", "v"], "left_anti")
+            pairs = common.stage(pairs, f"{folder}/pairs-{turn}")
+            both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u")
+            both = both.join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v").select("u", "v", "a", "b")
+            new, seen = both.mapInArrow(_verified(similarity), "u long, v long"), pairs if seen is None else seen.unionByName(pairs)
+        else:
+            new = _block_links(named, classes, sets, similarity)
+        new = common.stage(new, f"{folder}/links-{turn}")
+        found = new if found is None else found.unionByName(new)
         if nodes is None or not new.isEmpty():
             nodes = components(found, f"{folder}/components-{turn}")
     rooted = classes.select("node", "name", "id").join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -248,8 +273,10 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     the names are few."""
     folder = common.work_dir(docs.sparkSession, "one")
     found = common.stage(near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity).withColumnRenamed(id_col, "id"), f"{folder}/found")
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")).select("component", F.col("first.row").alias("first"))
-    rows = found.groupBy("component", "row").agg(F.count("*").alias("n")).join(first, "component")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+    first = common.stage(first.select("component", F.col("first.row").alias("first")), f"{folder}/first")
+    counts = common.stage(found.groupBy("component", "row").agg(F.count("*").alias("n")), f"{folder}/counts")
+    rows = counts.join(first, "component")  # plain exchanges on both sides, as a component can hold a third of the rows
     rows = common.stage(rows.select("row", "n", (F.col("row") == F.col("first")).alias("stays")), f"{folder}/rows")
     gone = common.stage(rows.filter("NOT stays OR n > 1").select(F.col("row").alias("_row"), "stays"), f"{folder}/gone")
     given = docs.withColumn("_row", row_name(F.col(id_col), F.col(text_col)))

@@ -104,7 +104,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             found = np.array([fingerprint(x, words, seed, width) for x in common.utf8(batch.column(1))], dtype=np.uint64).reshape(-1, width)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k].view(np.int64)) for k in range(width))], names=[id_col, *names])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = common.spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
     return rows.mapInArrow(run, ", ".join([f"`{id_col}` long", *(f"{n} long" for n in names)]))
 
 
