@@ -17,11 +17,15 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.session import shared_root, spread, work_dir
 
 _SHIPPED: set[str] = set()
 BATCH_BYTES = 8 << 20
+#: A key of more rows than HOT is dealt over several tasks; of a table of more than HOT * HOT_KEYS rows, one of more than its
+#: share of HOT_KEYS, so that there are at most HOT_KEYS such keys, however many rows there are.
+HOT, HOT_KEYS = 256, 1 << 16
 
 
 def ship(spark: SparkSession) -> None:
@@ -55,6 +59,20 @@ def stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def meet(rows: DataFrame, own: DataFrame, by: list[str], other: str, total: int) -> DataFrame:
+    """rows, each with what own has of its key: own has one row for each key (by, never null) of rows, and in n how many rows
+    have it; total is the number of all rows. The rows of a frequent key are dealt by their column other to several tasks,
+    with a copy of its row of own for each. (As own is an aggregate by the same key, adaptive execution can't split this
+    join.) What is broadcast are the frequent keys, HOT_KEYS at most."""
+    most = max(HOT, -(-total // HOT_KEYS))
+    chunks = F.ceil(F.col("n") / most).cast("int")
+    hot = own.filter(F.col("n") > most).select(*by, chunks.alias("_chunks"))
+    chunk = F.pmod(F.xxhash64(other), F.coalesce("_chunks", F.lit(1))).cast("int")
+    dealt = rows.join(F.broadcast(hot), by, "left").withColumn("_chunk", chunk).drop("_chunks")
+    copies = own.withColumn("_chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    return dealt.join(copies, [*by, "_chunk"]).drop("_chunk")
+
+
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI or an absolute path, and the path within it."""
     return pafs.FileSystem.from_uri(uri)
@@ -85,4 +103,4 @@ def texts(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-__all__ = ["clear", "new_file", "opened", "rows_of", "ship", "shared_root", "shuffle_partitions", "spread", "stage", "texts", "utf8", "work_dir"]
+__all__ = ["clear", "meet", "new_file", "opened", "rows_of", "ship", "shared_root", "shuffle_partitions", "spread", "stage", "texts", "utf8", "work_dir"]

@@ -291,13 +291,14 @@ def links(prints: DataFrame, *, radius: int = 4, width: int = 1, n: int | None =
     names = columns_of(width)
     if width == 1:
         parts = [F.struct(F.lit(k).alias("band"), _bucket_of(band).alias("bucket")) for k, band in enumerate(choices(n, radius))]
+        many = len(parts)
         rows = prints.select("fp", F.explode(F.array(*parts)).alias("x")).select("fp", "x.band", "x.bucket")
     else:
         schema = ", ".join([*(f"{x} long" for x in names), "band int, bucket long"])
-        rows = prints.select(*names).mapInArrow(_sampled(tables(n, width, RECALL, radius), names), schema)
-    hot = rows.groupBy("band", "bucket").count().filter(F.col("count") > SPLIT)
-    hot = hot.select("band", "bucket", F.ceil(F.col("count") / SPLIT).cast("int").alias("chunks"))
-    rows = rows.join(hot, ["band", "bucket"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        chosen = tables(n, width, RECALL, radius)
+        rows, many = prints.select(*names).mapInArrow(_sampled(chosen, names), schema), len(chosen)
+    buckets = rows.groupBy("band", "bucket").agg(F.count("*").alias("n"))
+    rows = common.meet(rows, buckets, ["band", "bucket"], names[0], n * many).withColumn("chunks", F.ceil(F.col("n") / SPLIT).cast("int"))
     rows = rows.withColumn("side", F.pmod(F.xxhash64(*names), F.col("chunks")).cast("int"))
     # chunk i meets chunk j in the pair (min, max); a bucket of one chunk is the pair (0, 0)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -312,20 +313,26 @@ def components(edges: DataFrame, folder: str, most: int = 60) -> DataFrame:
     """(node, root) of every node that an edge (u, v) has; root is one node of its component, the same for all of it.
 
     Large-star: every node's larger neighbours go to its smallest neighbour or itself. Small-star: every node's smaller
-    neighbours and itself go to the smallest of them. The minima are aggregates with map-side sums and joins on them;
-    no neighbourhood is ever collected. Ends when a round leaves the edges as they were.
+    neighbours and itself go to the smallest of them. The minima are aggregates with map-side sums, and a node of many
+    neighbours meets its own in several tasks; no neighbourhood is ever collected. Ends when a round leaves the edges as
+    they were.
     """
+
+    def with_least(pairs: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+        least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        return common.meet(pairs, least, ["u"], "v", total), least
+
     edges = common.stage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{folder}/edges-0")
-    state = None
+    state = (edges.count(),)
     for k in range(1, most + 1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(smallest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        met, _ = with_least(both, 2 * state[0])
+        large = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        met, smallest = with_least(large, state[0])
+        small = met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = small.unionByName(smallest.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = common.stage(edges, f"{folder}/edges-{k}")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == state:
             break
         state = now
@@ -341,8 +348,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     prints = common.stage(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed, width=width), f"{folder}/prints")
     classes = common.stage(prints.groupBy(*names).agg(F.min(id_col).alias("least_id")).withColumn("node", node_of(width)), f"{folder}/classes")
     nodes = components(links(classes.select(*names), radius=radius, width=width), folder)
-    rooted = classes.join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select(*names, "component_id")
+    rooted = common.stage(classes.join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node")), f"{folder}/rooted")
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    named = common.meet(rooted, least, ["root"], "node", rooted.count()).select(*names, "component_id")
     return prints.join(named, names).select(id_col, *names, "component_id")
 
 
