@@ -206,8 +206,8 @@ def _block_links(open_: DataFrame, classes: DataFrame, sets: DataFrame, similari
     """(u, v): links of the nodes of each key that are in two components."""
     sizes = sets.select("node", F.octet_length("own").alias("bytes"))
     most = F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)
-    hot = open_.join(sizes, "node").groupBy("key").agg(F.ceil(most).cast("int").alias("blocks"))
-    rows = open_.join(hot, "key").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    held = open_.join(sizes, "node").groupBy("key").agg(F.ceil(most).cast("int").alias("blocks"), F.count("*").alias("n"))
+    rows = common.meet(open_, held, ["key"], "node", open_.count()).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.least("side", "other").cast("long") * F.lit(1 << 31) + F.greatest("side", "other").cast("long")
     rows = rows.join(classes.select("node", "sketch", "keys"), "node").join(sets, "node")
@@ -226,8 +226,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = prints.groupBy("name").agg(F.min("row").alias("row"), F.min("id").alias("id"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     classes = common.stage(classes.withColumn("node", F.monotonically_increasing_id()), f"{folder}/classes")
     buckets = classes.select("node", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = common.stage(buckets.join(shared, "key").select("key", "node"), f"{folder}/members")
+    held = buckets.groupBy("key").agg(F.count("*").alias("n"))
+    members = common.meet(buckets, held, ["key"], "node", BANDS * classes.count()).filter("n > 1").select("key", "node")
+    members = common.stage(members, f"{folder}/members")
+    many = members.count()
     first = common.stage(_trie_pairs(classes), f"{folder}/trie")
     some = members.select("node").unionByName(first.select("node")).unionByName(first.select(F.col("hub").alias("node"))).distinct()
     some = common.stage(some.join(classes.select("node", "row"), "node"), f"{folder}/some")
@@ -240,11 +242,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             pairs = first
         else:
             named = members.join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            open_ = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-            named = common.stage(named.join(open_, "key").select("key", "node", "root"), f"{folder}/open-{turn}")
+            held = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"))
+            named = common.meet(named, held, ["key"], "node", many).filter("a <> b").select("key", "node", "root")
+            named = common.stage(named, f"{folder}/open-{turn}")
         if turn in range(1, HUBS + 1):
-            hub = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("hub"), F.col("root").alias("other"))).alias("x"))
-            pairs = named.join(hub, "key").select("node", "root", "x.col1", "x.hub", "x.other").filter("root <> other")
+            hub = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("hub"), F.col("root").alias("other"))).alias("x"), F.count("*").alias("n"))
+            pairs = common.meet(named, hub, ["key"], "node", many).select("node", "root", "x.col1", "x.hub", "x.other").filter("root <> other")
             if turn == 1:  # one hub for each
                 pairs = pairs.groupBy("node").agg(F.min(F.struct("col1", "hub")).alias("x")).select("node", "x.hub")
         if turn <= HUBS:
@@ -262,8 +265,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if nodes is None or not new.isEmpty():
             nodes = components(found, f"{folder}/components-{turn}")
     rooted = classes.select("node", "name", "id").join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = rooted.join(least, "root").select("name", F.col("root").alias("component"), "component_id")
+    rooted = common.stage(rooted, f"{folder}/rooted")
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("n"))
+    named = common.meet(rooted, least, ["root"], "node", rooted.count()).select("name", F.col("root").alias("component"), "component_id")
     return prints.select("id", "row", "name").join(named, "name").select(F.col("id").alias(id_col), "row", "component", "component_id")
 
 
