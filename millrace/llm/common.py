@@ -25,7 +25,7 @@ _SHIPPED: set[str] = set()
 BATCH_BYTES = 8 << 20
 #: A key of more rows than HOT is dealt over several tasks; of a table of more than HOT * HOT_KEYS rows, one of more than its
 #: share of HOT_KEYS, so that there are at most HOT_KEYS such keys, however many rows there are.
-HOT, HOT_KEYS = 256, 1 << 16
+HOT, HOT_KEYS = 1 << 16, 1 << 16
 
 
 def ship(spark: SparkSession) -> None:
@@ -63,7 +63,10 @@ def meet(rows: DataFrame, own: DataFrame, by: list[str], other: str, total: int)
     """rows, each with what own has of its key: own has one row for each key (by, never null) of rows, and in n how many rows
     have it; total is the number of all rows. The rows of a frequent key are dealt by their column other to several tasks,
     with a copy of its row of own for each. (As own is an aggregate by the same key, adaptive execution can't split this
-    join.) What is broadcast are the frequent keys, HOT_KEYS at most."""
+    join.) What is broadcast are the frequent keys, HOT_KEYS at most. No key of HOT rows or fewer in all is frequent: then it is
+    a plain join, whose plan is a third as large."""
+    if total <= HOT:
+        return rows.join(own, by)
     most = max(HOT, -(-total // HOT_KEYS))
     chunks = F.ceil(F.col("n") / most).cast("int")
     hot = own.filter(F.col("n") > most).select(*by, chunks.alias("_chunks"))

@@ -29,3 +29,13 @@ def test_no_rows(spark):
     rows = spark.createDataFrame([], "key long, id long")
     own = rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     assert common.meet(rows, own, ["key"], "id", 0).collect() == []
+
+
+def test_components_of_hubs(spark, tmp_path, monkeypatch):
+    """Stars about the largest and the least of their nodes, joined by one edge, and a star of their own."""
+    from millrace.llm import simhash
+
+    monkeypatch.setattr(common, "HOT", 16)
+    pairs = [(k, 500) for k in range(100)] + [(700, k) for k in range(701, 800)] + [(40, 750)] + [(k, 999) for k in range(900, 960)]
+    roots = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "u long, v long"), str(tmp_path)).collect()}
+    assert roots == {x: 900 if x >= 900 else 0 for pair in pairs for x in pair}
